@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, let, table, words_of
+from siltstone.llm.common import WORD, cut, let, table, words_of
 
 BASE, MODULUS = 1_000_003, 2_147_483_647
 MIN_LINES, MIN_WORDS = 2, 10
@@ -55,15 +55,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
     """``docs`` with shared chunks removed from ``text``; with ``spans`` also ``n_chunks``, ``n_removed`` and ``removed_chars``."""
     order = [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__k"), F.xxhash64(F.col(text)).alias("__h")]
     two = lambda c: (F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b"))
-    wide = docs.select(*order, F.posexplode(F.transform(line_chunks(F.col(text), min_lines, min_words), lambda c: F.when(c["wide"], F.struct(*two(c["text"]))))).alias("pos", "c")).where("c is not null").select("__k", "__h", "pos", "c.a", "c.b")
+    chunks = F.transform(line_chunks(F.col(text), min_lines, min_words), lambda c: F.when(c["wide"], F.struct(*two(c["text"]))))
+    # Hashes and places only, a few hundredths of the text, written so that texts are chunked once for them.
+    wide = cut(docs.select(*order, F.posexplode(chunks).alias("pos", "c")).where("c is not null").select("__k", "__h", "pos", "c.a", "c.b"), "line-chunks")
     place = F.struct("__k", "__h", "pos")
     shared = wide.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    # All occurrences of shared hashes, gathered by document; a document's own chunks bound the array.
-    here = wide.join(shared, ["a", "b"]).groupBy("__k", "__h").agg(F.collect_set(F.struct("pos", "a", "b", (place != F.col("first")).alias("again"))).alias("__found"))
-    chunked = docs.select("*", *order).join(here, ["__k", "__h"], "left")
-    shown = chunked.where("__found is not null").select(F.col("__found").alias("f"), line_chunks(F.col(text), min_lines, min_words).alias("c")).select(F.explode(F.transform("f", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.get("c", x["pos"])["text"].alias("t")))).alias("x")).select("x.*")
+    found = cut(wide.join(shared, ["a", "b"]).select("__k", "__h", "pos", "a", "b", (place != F.col("first")).alias("again")).distinct(), "shared-chunks")
+    # The chunks of a document are all that its arrays can hold.
+    here = found.groupBy("__k", "__h").agg(F.collect_list(F.struct("pos", "a", "b")).alias("__found"))
+    chunked = docs.select(F.col(text).alias("t"), *order).join(here, ["__k", "__h"]).select(F.col("__found").alias("f"), line_chunks(F.col("t"), min_lines, min_words).alias("c"))
+    shown = chunked.select(F.explode(F.transform("f", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.get("c", x["pos"])["text"].alias("t")))).alias("x")).select("x.*")
     equal = shown.groupBy("a", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo = hi").select("a", "b")
-    gone = wide.join(shared, ["a", "b"]).where(place != F.col("first")).join(equal, ["a", "b"], "left_semi").groupBy("__k", "__h").agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
+    gone = found.where("again").join(equal, ["a", "b"], "left_semi").groupBy("__k", "__h").agg(F.collect_list("pos").alias("__gone"))
     left = docs.select("*", *order).join(gone, ["__k", "__h"], "left")
     kept = let(line_chunks(F.col(text), min_lines, min_words), lambda c: F.struct(F.filter(c, lambda x, i: ~F.array_contains("__gone", i)).alias("k"), F.size(c).alias("n")))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.col("__kept")["k"]["text"], "\n"))
@@ -74,3 +77,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.drop("__k", "__h", "__gone", "__kept", "__new")
+
+
+def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), spans=True).select("doc_id", "text", "n_chunks", "n_removed", "removed_chars")
+
+
+_ORACLE = f"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
+l AS (SELECT rid, i, ls[i] AS line FROM (SELECT rid, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d WHERE text <> ''))),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+r AS (SELECT *, (coalesce(lag(h) OVER w, 0) * {BASE} + h) % {MODULUS} AS r FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
+e AS (SELECT *, coalesce(lead(r) OVER w IS NULL OR (r < lag(r) OVER w AND r <= lead(r) OVER w), false) AS last FROM r WINDOW w AS (PARTITION BY rid ORDER BY i)),
+n AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
+c AS (SELECT rid, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS worded FROM n GROUP BY rid, pos),
+o AS (SELECT c.*, doc_id, worded >= {MIN_LINES} AND len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS} AS wide FROM c JOIN d USING (rid)),
+k AS (SELECT *, wide AND row_number() OVER (PARTITION BY chunk, wide ORDER BY doc_id NULLS FIRST, pos) > 1 AS gone FROM o),
+t AS (SELECT rid, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed FROM k GROUP BY rid)
+SELECT d.doc_id, CASE WHEN d.text <> '' THEN t.text ELSE d.text END AS text, coalesce(n_chunks, 0)::INT AS n_chunks, coalesce(n_removed, 0)::INT AS n_removed,
+       (length(d.text) - length(coalesce(t.text, d.text)))::INT AS removed_chars
+FROM d LEFT JOIN t USING (rid)"""
+
+QUERIES = {"op5_line_dedup": op5_line_dedup}
+SQL = {"op5_line_dedup": _ORACLE}

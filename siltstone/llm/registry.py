@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from siltstone.llm import quality_rules
+from siltstone.llm import line_dedup, quality_rules, simhash
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, line_dedup, simhash)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
