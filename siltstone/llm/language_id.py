@@ -61,33 +61,33 @@ class Network:
         return (out, acts) if keep else out
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(positions, segments, languages)"""
+        """(languages, positions * segments). States lie in (-1, 1), so logits are bounded and exp cannot overflow."""
         s, H = self.states(x), self.U.shape[1]
-        p = s[0] @ self.V[:H] + s[1] @ self.V[H:] + self.c
-        p -= p.max(-1, keepdims=True)
+        p = self.V[:H].T @ s[0].reshape(-1, H).T
+        p += self.V[H:].T @ s[1].reshape(-1, H).T
+        p += (self.c - np.abs(self.V).sum(0).max())[:, None]
         np.exp(p, out=p)
-        p /= p.sum(-1, keepdims=True)
+        p /= p.sum(0)
         return p
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Mean probabilities and shares of position labels, (documents, languages)."""
         k, lengths = len(self.langs), np.array([len(t) for t in texts], np.int64)
+        flat = np.frombuffer(b"".join(texts) + bytes(SEGMENT), np.uint8)
+        begins = np.cumsum(lengths) - lengths
         counts = -(-lengths // SEGMENT)
         total, labels = np.zeros((len(texts), k)), np.zeros((len(texts), k))
         doc = np.repeat(np.arange(len(texts)), counts)
-        part = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        part = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * SEGMENT
+        place = np.arange(SEGMENT)[:, None]
         for i in range(0, len(doc), BLOCK):
             d, s = doc[i : i + BLOCK], part[i : i + BLOCK]
-            x = np.zeros((len(d), SEGMENT), np.uint8)
-            size = np.minimum(lengths[d] - s * SEGMENT, SEGMENT)
-            for row, (j, at) in enumerate(zip(d.tolist(), (s * SEGMENT).tolist(), strict=True)):
-                piece = texts[j][at : at + SEGMENT]
-                x[row, : len(piece)] = np.frombuffer(piece, np.uint8)
-            p = self.probabilities(np.ascontiguousarray(x.T)) * (np.arange(SEGMENT)[:, None] < size)[..., None]
-            best = p == p.max(-1, keepdims=True)
-            best &= p > 0
-            np.add.at(total, d, p.sum(0, dtype=np.float64))
-            np.add.at(labels, d, best.sum(0))
+            inside = place < (lengths[d] - s)
+            p = self.probabilities(np.where(inside, flat[begins[d] + s + place], 0)).reshape(k, SEGMENT, len(d))
+            p *= inside
+            best = (p == p.max(0)) & inside
+            np.add.at(total, d, p.sum(1, dtype=np.float32).T.astype(np.float64))
+            np.add.at(labels, d, best.sum(1).T)
         n = np.maximum(lengths, 1)[:, None]
         return total / n, labels / n
 

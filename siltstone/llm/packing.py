@@ -15,6 +15,7 @@ a null doc_id are packed too; an empty table gives no sequence; other columns ar
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,21 +33,47 @@ WEIGHTS = (1.0, 1e-3, 1e-3)
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level characters, by the public rule: printable bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+#: Words of these characters alone are the same after NFC, hold no white space, and lower-case letter by letter.
+_EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The split of the tokenizer for such words in lower case (ª, º, µ, × and ÷ are not among them).
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\na-zß-öø-ÿ0-9]+")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never span white space, encoding each different word once while known.
+    """Ids of texts by a BPE tokenizer with word ends whose tokens never span white space, encoding each different word
+    once while known.
 
-    At most ``limit`` words are known at a time. Texts that may hold special tokens are encoded as they are.
+    Common words go in one text through the byte-pair core of tiktoken: U+0001 stands for the word end, and its merge with
+    any byte comes first, as in the tokenizer's alphabet. The rest go through the tokenizer itself, and so do whole texts
+    that may hold special tokens. At most ``limit`` words are known at a time.
     """
 
     def __init__(self, path: str, limit: int = KNOWN):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        byte, ranks = _byte_of(), {}
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            body = token.removesuffix("</w>")
+            if all(c in byte for c in body):
+                ranks[bytes(byte[c] for c in body) + (b"\x01" if body != token else b"")] = i
+        self.core = tiktoken.Encoding("words", pat_str=r"[^\x01\n]+\x01|\n", mergeable_ranks=ranks, special_tokens={})
+        self.line = ranks[b"\n"]
         self.clear()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        return _encoders.setdefault(path, None) or _encoders.__setitem__(path, cls(path)) or _encoders[path]
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -56,24 +83,24 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, words: set[bytes]) -> None:
-        """A word that ends in , or . after an ASCII letter is the word before it and that mark."""
-        tail = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
-        plain = sorted(({w for w in words if w not in tail} | {x for x in tail.values() if x not in self.known} | {b",", b"."}) - self.known.keys())
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)]
-        self.add(plain, found)
-        own = [(w, x) for w, x in tail.items()]
-        self.add([w for w, _ in own], [self.ids_of(x) + self.ids_of(w[-1:]) for w, x in own])
-
-    def ids_of(self, word: bytes) -> list[int]:
-        i = self.known[word]
-        return self.flat[self.at[i] : self.at[i] + self.size[i]].tolist()
-
-    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        size = np.array([len(x) for x in ids], np.int64)
+        easy, hard = [], []
+        for w in words:
+            (easy if _EASY.fullmatch(t := w.decode()) else hard).append(t)
+        marked = _SPLIT.sub("\\g<0>\x01", "\n".join(easy).lower())
+        ids = np.array(self.core.encode_ordinary(marked), np.uint32)
+        ends = np.append(np.nonzero(ids == self.line)[0], len(ids))
+        flat = ids[ids != self.line]
+        size = np.diff(ends, prepend=-1) - 1 if easy else np.zeros(0, np.int64)
+        self.add([t.encode() for t in easy], size, flat)
+        if hard:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
+            self.add([t.encode() for t in hard], np.array([len(x) for x in found]), np.fromiter(chain.from_iterable(found), np.uint32))
+
+    def add(self, words: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [None if "<|" in t else t.encode().lower().split() for t in texts]
