@@ -4,7 +4,7 @@ A document with labels has a grade: 0 low quality, 1 fluent but toxic, 2 good. I
 lower-case words without the punctuation around them, the kinds of symbols on words, and buckets of length, repeated words
 and repeated lines. All thresholds share one weight vector w, P(grade > j) = sigmoid(w.x - b_j) with b_0 < b_1 kept ordered
 by fitting b_0 and the logarithms of the gaps. It is fitted in numpy (Adam, L2) on at most SAMPLE labelled rows a grade,
-picked by hash; scoring reads every whole text. ``expected_grade`` is sum P(grade > j), ``tail`` is P(grade >= top), and a
+picked by hash, on features that at least RARE of these rows have; scoring reads every whole text. ``expected_grade`` is sum P(grade > j), ``tail`` is P(grade >= top), and a
 document is ``kept`` if the tail is at least ``least``.
 
 Defined results: null, empty and blank texts have no words, only the bucket features; rows with a null or missing label are
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-SIZE, SAMPLE, STEPS, LEAST = 1 << 16, 4000, 300, 0.5
+SIZE, SAMPLE, STEPS, LEAST, RARE = 1 << 18, 4000, 300, 0.5, 8
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _places: dict[str, int] = {}
 
@@ -79,10 +79,12 @@ class Ordinal:
         return np.bincount(np.repeat(np.arange(len(rows)), size), self.w[at], len(rows))
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l2: float = 2e-5) -> Ordinal:
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l2: float = 1e-3, rare: int = RARE) -> Ordinal:
     """Full-batch Adam on the mean negative log likelihood, each grade weighted alike."""
     size = np.array([len(r) for r in rows])
     at, of = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), size)
+    often = np.bincount(at, minlength=SIZE)[at] >= min(rare, len(rows) // 20 + 1)
+    at, of = at[often], of[often]
     weight = 1 / np.bincount(grades, minlength=top + 1)[grades] / len(np.unique(grades))
     w, t = np.zeros(SIZE), np.concatenate([[-1.0], np.zeros(top - 1)])
     m1, m2 = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
