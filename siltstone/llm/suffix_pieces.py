@@ -132,11 +132,11 @@ class SuffixCoder:
         chunk, start, end = chunk[by], start[by], end[by]
         rank = np.where(end - start <= self.width, best[start, np.minimum(end - start, self.width)], _NONE)
         ids = np.where(rank < _NONE, self.by_rank[np.minimum(rank, len(self.by_rank) - 1)], -1)
-        bounds = np.searchsorted(chunk, np.arange(len(chunks) + 1))
-        for i, c in enumerate(chunks):
-            a, b = bounds[i], bounds[i + 1]
-            own = ids[a:b]
-            self.known[c] = own if (own >= 0).all() else self._bytes(text, start[a:b], end[a:b], own)
+        bounds = np.searchsorted(chunk, np.arange(len(chunks) + 1)).tolist()
+        bad = set(chunk[ids < 0].tolist())
+        ids = ids.astype(np.int32)
+        for i, (c, a, b) in enumerate(zip(chunks, bounds, bounds[1:], strict=False)):
+            self.known[c] = self._bytes(text, start[a:b], end[a:b], ids[a:b]) if i in bad else ids[a:b]
 
     def _bytes(self, text: str, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out: list[int] = []
@@ -192,7 +192,7 @@ class SuffixCoder:
         return out.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", step: int = 128) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", step: int = 1024) -> DataFrame:
     """``docs`` with ``ids``."""
 
     @F.pandas_udf("array<int>")
@@ -216,7 +216,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return docs.withColumn("decoded", run(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, text: str = "text", step: int = 128) -> DataFrame:
+def digests(docs: DataFrame, path: str, text: str = "text", step: int = 1024) -> DataFrame:
     """``docs`` with ``n_ids``, ``ids_crc32`` (little-endian unsigned 32-bit ids) and ``round_trip`` (decoding gives the text)."""
 
     @F.pandas_udf("n_ids long, ids_crc32 long, round_trip boolean")
