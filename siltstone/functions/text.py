@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode and Python define it; plain \s in Java is ASCII only.
 UNICODE_SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -39,13 +40,13 @@ def short_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("-", *parts), 256), 1, 16)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Spark has no Unicode normalisation."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.casefold())
 
