@@ -97,13 +97,14 @@ def train(texts: list[bytes], marks: np.ndarray, langs: list[str], steps: int =
     H, k = HIDDEN, len(langs)
     f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
     net = Network(langs, f(2, 256, 2 * H, scale=0.3), f(2, H, 2 * H, scale=0.3), f(2 * H, k, scale=0.1), np.zeros(k, np.float32))
+    net.E[:, 0, :H] = -30  # byte 0, which also fills segments, shuts the gate: the state stays as it is
     names = ("E", "U", "V", "c")
     m1, m2 = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
     by = [np.nonzero(marks == i)[0] for i in range(k)]
     T = 64
     for step in range(1, steps + 1):
         label = rng.integers(0, k, BATCH)
-        x = np.full((BATCH, T), 32, np.uint8)
+        x = np.zeros((BATCH, T), np.uint8)
         for row, lang in enumerate(label):
             t = texts[by[lang][rng.integers(len(by[lang]))]]
             at = rng.integers(max(1, len(t) - T + 1))
