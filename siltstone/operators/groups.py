@@ -112,9 +112,10 @@ def group_features(groups: DataFrame, comments: DataFrame, group: str, key: str,
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """All character n-grams of a lower-case text whose runs of two and more white space are one space."""
-    t = F.regexp_replace(F.lower(text), r"\s\s+", " ")
-    grams = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    clean = F.regexp_replace(F.lower(text), r"\s\s+", " ")
+    grams = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # A lambda evaluates what it captures once per element, so the clean text is bound first.
+    return F.transform(F.array(clean), lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)])).getItem(0)
 
 
 def char_tfidf(df: DataFrame, keys: list[str], text: str, low: int = 2, high: int = 4, min_df: int = 1, within: list[str] | None = None, max_features: int | None = None, sublinear: bool = True) -> DataFrame:
