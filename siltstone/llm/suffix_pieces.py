@@ -32,17 +32,16 @@ _NONE = np.int32(2**31 - 1)
 _coders: dict[str, SuffixCoder] = {}
 
 
-def suffix_ranges(text: str, pieces: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_ranges(text: str, pieces: np.ndarray, tops: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of ``text`` to a depth of ``width`` characters, and for each piece the range of it where suffixes
-    start with the piece."""
+    start with the piece, that is, lie from it to its entry of ``tops``."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
     padded = np.concatenate([codes, np.zeros(width, "<u4")])
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(codes)]
     suffixes = np.ascontiguousarray(windows).view(f"<U{width}").ravel()
     order = np.argsort(suffixes, kind="stable")
     ranked = suffixes[order]
-    top = np.char.add(pieces, "\U0010ffff")
-    return order, np.searchsorted(ranked, pieces, "left"), np.searchsorted(ranked, top.astype(f"<U{width + 1}"), "right")
+    return order, np.searchsorted(ranked, pieces, "left"), np.searchsorted(ranked, tops, "right")
 
 
 class SuffixCoder:
@@ -64,8 +63,12 @@ class SuffixCoder:
         self.ranks = np.array([self.rank[i] for i in self.ids], np.int32)
         self.by_rank = np.array(by_score)
         self.width = max(map(len, self.pieces))
+        self.lengths = np.char.str_len(self.pieces)
+        self.tops = np.char.add(self.pieces, "\U0010ffff").astype(f"<U{self.width + 1}")
+        self.raw = [self._piece(i) for i in range(n)]
         self.spans = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.known: dict[str, np.ndarray] = {}
+        #: The ids of each chunk met, as little-endian 32-bit integers, so those of a text are joined by one copy.
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> SuffixCoder:
@@ -79,11 +82,11 @@ class SuffixCoder:
 
     def edges(self, text: str) -> np.ndarray:
         """table[start, length]: the rank of the piece there; edges come from the suffix array, sorted by position."""
-        order, low, high = suffix_ranges(text, self.pieces, self.width)
+        order, low, high = suffix_ranges(text, self.pieces, self.tops, self.width)
         size = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(size)), size)
         start = order[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        length = np.char.str_len(self.pieces)[which]
+        length = self.lengths[which]
         by = np.lexsort((length, start))
         out = np.full((len(text), self.width + 1), _NONE, np.int32)
         out[start[by], length[by]] = self.ranks[which[by]]
@@ -109,7 +112,7 @@ class SuffixCoder:
         best = self.edges(text)
         sizes = np.array([len(c) for c in chunks])
         begins = np.cumsum(sizes + 1) - sizes - 1
-        start = np.concatenate([np.arange(b, b + n) for b, n in zip(begins, sizes, strict=True)])
+        start = np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
         end, chunk = start + 1, np.repeat(np.arange(len(chunks)), sizes)
         done: list[tuple[np.ndarray, ...]] = []
         while len(start):
@@ -134,17 +137,18 @@ class SuffixCoder:
         ids = np.where(rank < _NONE, self.by_rank[np.minimum(rank, len(self.by_rank) - 1)], -1)
         bounds = np.searchsorted(chunk, np.arange(len(chunks) + 1)).tolist()
         bad = set(chunk[ids < 0].tolist())
-        ids = ids.astype(np.int32)
+        ids = ids.astype("<i4")
+        raw = ids.tobytes()
         for i, (c, a, b) in enumerate(zip(chunks, bounds, bounds[1:], strict=False)):
-            self.known[c] = self._bytes(text, start[a:b], end[a:b], ids[a:b]) if i in bad else ids[a:b]
+            self.known[c] = self._bytes(text, start[a:b], end[a:b], ids[a:b]) if i in bad else raw[4 * a : 4 * b]
 
-    def _bytes(self, text: str, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def _bytes(self, text: str, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> bytes:
         out: list[int] = []
         for a, b, i in zip(start, end, ids, strict=True):
             out += [int(i)] if i >= 0 else [self.bytes[x] for x in text[a:b].encode()] if self.bytes else [self.unknown]
-        return np.array(out)
+        return np.array(out, "<i4").tobytes()
 
-    def _merge_long(self, chunk: str) -> np.ndarray:
+    def _merge_long(self, chunk: str) -> bytes:
         """One chunk of any length, in O(n log n) from a heap, block by block indexed."""
         parts = []
         for at in range(0, len(chunk), CHARS):
@@ -185,11 +189,16 @@ class SuffixCoder:
             new = {c for s in split for c in s}
         if new:
             self.learn(sorted(new))
-        return [np.concatenate([self.known[c] for c in s]) if s else np.zeros(0, np.int64) for s in split]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, s)), "<i4") for s in split]
+
+    def _piece(self, i: int) -> bytes:
+        """What a piece stands for in a decoded text."""
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else self.names[i].replace(SPACE, " ").encode()
 
     def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else self.names[i].encode() for i in ids.tolist())
-        return out.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", step: int = 1024) -> DataFrame:
