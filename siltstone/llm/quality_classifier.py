@@ -8,8 +8,9 @@ picked by hash, on features that at least RARE of these rows have; scoring reads
 document is ``kept`` if the tail is at least ``least``.
 
 Defined results: null, empty and blank texts have no words, only the bucket features; rows with a null or missing label are
-not learned from; several labels of one document count with their lowest grade; without labels of two different grades
-every document has expected grade and tail null and is kept; repeated rows each get a row; other columns pass through.
+not learned from; several labels of one document count with their lowest grade, and rows that share a doc_id are learned
+from as one; without labels of two different grades every document has expected grade and tail null and is kept; repeated
+rows each get a row; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import cut, table
 
 SIZE, SAMPLE, STEPS, LEAST, RARE = 1 << 18, 4000, 300, 0.5, 8
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -121,9 +122,13 @@ def fit(docs: DataFrame, graded: DataFrame, text: str = "text", key: str = "doc_
     if len(counts) < 2:
         return None
     share = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(int(min(1.0, sample / n) * (1 << 24))))])
-    picked = graded.where(F.pmod(F.xxhash64(key), F.lit(1 << 24)) < share[F.col("grade")])
+    picked = cut(graded.where(F.pmod(F.xxhash64(key), F.lit(1 << 24)) < share[F.col("grade")]).select(key, "grade"), "graded-sample")
+    # About ``sample`` keys a grade, whatever the size of the tables; where that holds, no text is shuffled to meet its label.
+    small = F.broadcast(picked) if picked.count() <= 2 * sample * len(counts) else picked
     read = F.pandas_udf(lambda t: pd.Series([features(x) for x in t]), "array<int>")
-    rows = docs.select(key, text).join(picked, key).select(key, "grade", read(F.col(text)).alias("x")).toPandas().sort_values(key)
+    # Rows that share a key are one example, the least list of features, joined in each task before it leaves it.
+    read_rows = docs.select(key, text).join(small, key).select(key, "grade", read(F.col(text)).alias("x"))
+    rows = read_rows.groupBy(key, "grade").agg(F.min("x").alias("x")).toPandas().sort_values(key)
     if rows["grade"].nunique() < 2:
         return None
     return fit_ordinal([list(x) for x in rows["x"]], rows["grade"].to_numpy(np.int64), top)

@@ -210,6 +210,8 @@ def test_quality_classifier(spark):
     good = [r["kept"] == (r["doc_id"] % 3 == 2) for r in out[:300]]
     assert len(out) == len(rows) + len(ODD) and np.mean(good) > 0.95 and all(0 <= r["expected_grade"] <= 2 for r in out)
     assert quality_classifier.fit(data, quality_classifier.grades_of(labels.where("false"))) is None
+    again = quality_classifier.fit(docs(spark, rows + rows[:1] * 50), quality_classifier.grades_of(labels))
+    assert np.array_equal(again.w, model.w)
 
 
 def test_suffix_pieces_equal_library(spark):
