@@ -51,23 +51,31 @@ def line_chunks(text: Column, min_lines: int = MIN_LINES, min_words: int = MIN_W
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<struct<text:string,wide:boolean>>")).otherwise(let(F.split(text, "\n"), chunks))
 
 
+def _hashes(chunk: Column) -> tuple[Column, Column]:
+    return F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit("second"), chunk).alias("b")
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, spans: bool = False) -> DataFrame:
     """``docs`` with shared chunks removed from ``text``; with ``spans`` also ``n_chunks``, ``n_removed`` and ``removed_chars``."""
     order = [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__k"), F.xxhash64(F.col(text)).alias("__h")]
-    two = lambda c: (F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b"))
-    chunks = F.transform(line_chunks(F.col(text), min_lines, min_words), lambda c: F.when(c["wide"], F.struct(*two(c["text"]))))
+    chunks = F.transform(line_chunks(F.col(text), min_lines, min_words), lambda c: F.when(c["wide"], F.struct(*_hashes(c["text"]))))
     # Hashes and places only, a few hundredths of the text, written so that texts are chunked once for them.
     wide = cut(docs.select(*order, F.posexplode(chunks).alias("pos", "c")).where("c is not null").select("__k", "__h", "pos", "c.a", "c.b"), "line-chunks")
     place = F.struct("__k", "__h", "pos")
     shared = wide.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     found = cut(wide.join(shared, ["a", "b"]).select("__k", "__h", "pos", "a", "b", (place != F.col("first")).alias("again")).distinct(), "shared-chunks")
     # The chunks of a document are all that its arrays can hold.
-    here = found.groupBy("__k", "__h").agg(F.collect_list(F.struct("pos", "a", "b")).alias("__found"))
-    chunked = docs.select(F.col(text).alias("t"), *order).join(here, ["__k", "__h"]).select(F.col("__found").alias("f"), line_chunks(F.col("t"), min_lines, min_words).alias("c"))
+    here = found.groupBy("__k", "__h").agg(F.collect_list(F.struct("pos", "a", "b", "again")).alias("__found"))
+    # Texts meet their shared chunks once; these rows then serve the byte comparison and the removal.
+    left = cut(docs.select("*", *order).join(here, ["__k", "__h"], "left"), "chunk-holders")
+    chunked = left.where(F.col("__found").isNotNull()).select(F.col("__found").alias("f"), line_chunks(F.col(text), min_lines, min_words).alias("c"))
     shown = chunked.select(F.explode(F.transform("f", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.get("c", x["pos"])["text"].alias("t")))).alias("x")).select("x.*")
-    equal = shown.groupBy("a", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo = hi").select("a", "b")
-    gone = found.where("again").join(equal, ["a", "b"], "left_semi").groupBy("__k", "__h").agg(F.collect_list("pos").alias("__gone"))
-    left = docs.select("*", *order).join(gone, ["__k", "__h"], "left")
+    differ = cut(shown.groupBy("a", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("a", "b"), "unequal-chunks")
+    # Written, so that its size is known: a table without rows, unless different chunks have the same two hashes.
+    spared = cut(found.where("again").join(differ, ["a", "b"], "left_semi").groupBy("__k", "__h").agg(F.collect_list("pos").alias("__spared")), "spared-chunks")
+    again = F.transform(F.filter("__found", lambda x: x["again"]), lambda x: x["pos"])
+    gone = F.array_except(again, F.coalesce("__spared", F.array().cast("array<int>")))
+    left = left.join(spared, ["__k", "__h"], "left").withColumn("__gone", F.when(F.size(gone) > 0, gone)).drop("__found", "__spared")
     kept = let(line_chunks(F.col(text), min_lines, min_words), lambda c: F.struct(F.filter(c, lambda x, i: ~F.array_contains("__gone", i)).alias("k"), F.size(c).alias("n")))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.col("__kept")["k"]["text"], "\n"))
     out = left.withColumn("__kept", F.when(F.col("__gone").isNotNull() | F.lit(spans), kept)).withColumn("__new", new)

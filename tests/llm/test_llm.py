@@ -114,6 +114,19 @@ def test_line_dedup(spark):
     assert same == {"alpha beta"} and line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_spares_unequal_chunks(spark, monkeypatch):
+    """Where different chunks have the same hashes, nothing of that hash is removed; other shared chunks are."""
+    line = lambda i, j: " ".join(f"w{i}x{j}x{k}" for k in range(8))
+    own = [(i, "\n".join(line(i, j) for j in range(4)), "en") for i in range(5)]
+    shared = [(i, "\n".join("x" + line(0, j) for j in range(4)), "en") for i in range(10, 12)]
+    first = lambda c: F.ascii(F.substring(c, 1, 1)).cast("long")
+    monkeypatch.setattr(line_dedup, "_hashes", lambda c: (first(c).alias("a"), F.when(c.startswith("x"), F.xxhash64(c)).otherwise(1).alias("b")))
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, own + shared)).collect()}
+    rest = texts.pop(11)
+    # The lone last line is a chunk of its own, too short to be removed.
+    assert texts == {i: t for i, t, _ in own + shared[:1]} and shared[1][1].endswith(rest) and len(rest) < len(shared[1][1])
+
+
 def test_simhash_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [" ".join(rng.choice([f"w{i}" for i in range(400)], 120)) for _ in range(60)]
