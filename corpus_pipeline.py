@@ -41,9 +41,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A component without any doc_id is known by its rows' fingerprint class; all of those have component_id null.
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__text_hash")
     first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(order).alias("x")).select("x.doc_id", "x.__text_hash")
-    first = cut(first.select(F.col("doc_id").alias("__d"), F.col("__text_hash").alias("__h")), "kept-documents")
-    kept = docs.withColumn("__text_hash", mark).join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    # The same plain columns key the join and the distinct rows, so texts are moved once for both.
+    name = [F.col("doc_id").isNull().alias("__n"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__d")]
+    first = cut(first.select(*name, "__text_hash"), "kept-documents")
+    keys = ["__n", "__d", "__text_hash"]
+    return docs.select("*", *name, mark).join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
