@@ -10,6 +10,12 @@ occurrence by (doc_id, text hash, place) stays and the others go, line ends incl
 Chunks are counted by two 64-bit hashes, pre-aggregated in each task. For the hashes found twice, all occurrences are then
 compared byte for byte: the smallest and largest text of a hash must be equal, otherwise nothing of it is removed.
 
+A passage that is shared between unlike texts mixes with their own lines in its first and last chunk, so most passages of a
+few lines hold no whole chunk. With ``runs`` the counted units are therefore all shortest runs of lines with ``min_lines``
+lines that hold a word and ``min_words`` words, from every first and to every last line; lines without a word are passed
+over. Every shared passage of that length is covered by such runs from its first line to its last, wherever it stands. A
+line goes if a run that holds it occurred before; each line that goes has an equal line earlier, so no line is lost.
+
 Defined results: null text stays null and empty text stays empty, both without chunks; rows that are equal in doc_id and
 text are one document, so they keep the same lines; rows with a null doc_id are ordered first; all other columns pass
 through, ``n_chars`` (if there) is set to the new length, and extra columns do not matter as names are internal.
@@ -51,14 +57,43 @@ def line_chunks(text: Column, min_lines: int = MIN_LINES, min_words: int = MIN_W
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<struct<text:string,wide:boolean>>")).otherwise(let(F.split(text, "\n"), chunks))
 
 
+def line_runs(text: Column, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> Column:
+    """array<struct<text, wide, first, last>>: the shortest runs of lines that are long enough to be removed, with their places."""
+    most = max(min_lines, min_words)
+
+    def runs(held):
+        sizes = F.transform(held, lambda x: F.size(words_of(x["line"])))
+
+        def enough(part):
+            """How many of the sizes it takes; 0 if all do not suffice."""
+            short = lambda s: (s["words"] < min_words) | (s["lines"] < min_lines)
+            start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+            return F.aggregate(part, start, lambda s, n: F.when(short(s), F.struct((s["words"] + n).alias("words"), (s["lines"] + 1).alias("lines"))).otherwise(s), lambda s: F.when(short(s), 0).otherwise(s["lines"]))
+
+        def found(n):
+            code = lambda start, k: F.when(k > 0, start.cast("long") * (most + 1) + k)
+            ahead = F.transform(n, lambda x, i: code(i, enough(F.slice(n, i + 1, most))))
+            back = F.transform(n, lambda x, i: let(enough(F.reverse(F.slice(n, F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, F.lit(most))))), lambda k: code(i + 1 - k, k)))
+            return F.transform(F.filter(F.array_distinct(F.concat(ahead, back)), lambda x: x.isNotNull()), lambda x: run((x / (most + 1)).cast("int"), (x % (most + 1)).cast("int")))
+
+        def run(start, k):
+            return F.struct(F.array_join(F.transform(F.slice(held, start + 1, k), lambda x: x["line"]), "\n").alias("text"), F.lit(True).alias("wide"), F.get(held, start)["at"].alias("first"), F.get(held, start + k - 1)["at"].alias("last"))
+
+        return let(sizes, found)
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
+    return let(F.filter(lines, lambda x: x["line"].rlike(WORD)), runs)
+
+
 def _hashes(chunk: Column) -> tuple[Column, Column]:
     return F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit("second"), chunk).alias("b")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, spans: bool = False) -> DataFrame:
-    """``docs`` with shared chunks removed from ``text``; with ``spans`` also ``n_chunks``, ``n_removed`` and ``removed_chars``."""
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, spans: bool = False, runs: bool = False) -> DataFrame:
+    """``docs`` with shared chunks, or with ``runs`` shared runs of lines, removed from ``text``; with ``spans`` also ``n_chunks``, ``n_removed`` and ``removed_chars``."""
+    units = line_runs if runs else line_chunks
     order = [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__k"), F.xxhash64(F.col(text)).alias("__h")]
-    chunks = F.transform(line_chunks(F.col(text), min_lines, min_words), lambda c: F.when(c["wide"], F.struct(*_hashes(c["text"]))))
+    chunks = F.transform(units(F.col(text), min_lines, min_words), lambda c: F.when(c["wide"], F.struct(*_hashes(c["text"]))))
     # Hashes and places only, a few hundredths of the text, written so that texts are chunked once for them.
     wide = cut(docs.select(*order, F.posexplode(chunks).alias("pos", "c")).where("c is not null").select("__k", "__h", "pos", "c.a", "c.b"), "line-chunks")
     place = F.struct("__k", "__h", "pos")
@@ -68,15 +103,20 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
     here = found.groupBy("__k", "__h").agg(F.collect_list(F.struct("pos", "a", "b", "again")).alias("__found"))
     # Texts meet their shared chunks once; these rows then serve the byte comparison and the removal.
     left = cut(docs.select("*", *order).join(here, ["__k", "__h"], "left"), "chunk-holders")
-    chunked = left.where(F.col("__found").isNotNull()).select(F.col("__found").alias("f"), line_chunks(F.col(text), min_lines, min_words).alias("c"))
-    shown = chunked.select(F.explode(F.transform("f", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.get("c", x["pos"])["text"].alias("t")))).alias("x")).select("x.*")
+    chunked = left.where(F.col("__found").isNotNull()).select(F.col("__found").alias("f"), units(F.col(text), min_lines, min_words).alias("c"))
+    shown = chunked.select(F.explode(let(F.col("c"), lambda c: F.transform("f", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.get(c, x["pos"])["text"].alias("t"))))).alias("x")).select("x.*")
     differ = cut(shown.groupBy("a", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("a", "b"), "unequal-chunks")
     # Written, so that its size is known: a table without rows, unless different chunks have the same two hashes.
     spared = cut(found.where("again").join(differ, ["a", "b"], "left_semi").groupBy("__k", "__h").agg(F.collect_list("pos").alias("__spared")), "spared-chunks")
     again = F.transform(F.filter("__found", lambda x: x["again"]), lambda x: x["pos"])
     gone = F.array_except(again, F.coalesce("__spared", F.array().cast("array<int>")))
     left = left.join(spared, ["__k", "__h"], "left").withColumn("__gone", F.when(F.size(gone) > 0, gone)).drop("__found", "__spared")
-    kept = let(line_chunks(F.col(text), min_lines, min_words), lambda c: F.struct(F.filter(c, lambda x, i: ~F.array_contains("__gone", i)).alias("k"), F.size(c).alias("n")))
+    if runs:
+        stay = lambda c, ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.flatten(F.transform("__gone", lambda g: F.sequence(F.get(c, g)["first"], F.get(c, g)["last"]))))
+        parts = lambda c: let(F.split(text, "\n"), lambda ls: F.transform(stay(c, ls), lambda i: F.struct(F.get(ls, i).alias("text"))))
+    else:
+        parts = lambda c: F.filter(c, lambda x, i: ~F.array_contains("__gone", i))
+    kept = let(units(F.col(text), min_lines, min_words), lambda c: F.struct(parts(c).alias("k"), F.size(c).alias("n")))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.col("__kept")["k"]["text"], "\n"))
     out = left.withColumn("__kept", F.when(F.col("__gone").isNotNull() | F.lit(spans), kept)).withColumn("__new", new)
     if spans:

@@ -127,6 +127,25 @@ def test_line_dedup_spares_unequal_chunks(spark, monkeypatch):
     assert texts == {i: t for i, t, _ in own + shared[:1]} and shared[1][1].endswith(rest) and len(rest) < len(shared[1][1])
 
 
+def test_line_runs_remove_short_passages(spark):
+    """Passages of 2 to 5 lines between unlike lines, one with short lines and blank lines, go from all texts but the first."""
+    rng = np.random.default_rng(5)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**9, 9))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 5)] + [["a b", "", *(f"short{i} line" for i in range(5)), " ", "end"]]
+    own = {(p, i): ([line() for _ in range(3)], [line() for _ in range(3)]) for p in range(len(passages)) for i in range(4)}
+    rows = [(p * 10 + i, "\n".join([*own[p, i][0], *lines, *own[p, i][1]]), "en") for p, lines in enumerate(passages) for i in range(4)]
+    twice = [line() for _ in range(2)]
+    rows += [(80, "\n".join(twice * 3), "en"), (81, "one two\nthree four", "en"), (82, "one two\nthree four", "en")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), runs=True).collect()}
+    for p, lines in enumerate(passages):
+        assert out[p * 10] == rows[p * 4][1]
+        for i in range(1, 4):
+            assert out[p * 10 + i] == "\n".join([*own[p, i][0], *own[p, i][1]]), (p, i)
+    assert out[80] == "\n".join(twice) and out[81] == out[82] == "one two\nthree four"
+    odd = line_dedup.dedup_lines(docs(spark, ODD), runs=True).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in odd) == sorted((str(i), str(t)) for i, t, _ in ODD)
+
+
 def test_simhash_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [" ".join(rng.choice([f"w{i}" for i in range(400)], 120)) for _ in range(60)]
