@@ -4,8 +4,8 @@ Pages of a host come from one template with data put in. A page is a stream of t
 the wrapper is aligned with further pages of the host (at most SAMPLE, picked by hash) and mismatches generalise it: two
 different texts become a text slot; where one side goes on with another element like the last one, that element becomes a
 repeated group; other tags that only one side has become an optional group. The result is a regular expression without
-unions. Its slots and repeated groups hold the data. The main region of a host is the deepest element that holds most of
-the slot text outside navigation, adverts, comments and their like (an article or main element where one does). Every page
+unions. Its slots and repeated groups hold the data. The main region of a host is the deepest container that holds all of
+the slot text outside navigation, adverts, comments and their like (its article or main elements where they hold most). Every page
 is then cut to that region; pages that lack it, and hosts with a single page, fall back to the same choice on the page.
 
 Defined results: null and empty html, and pages without text, give an empty text; an url that is null or has no host is the
@@ -43,6 +43,8 @@ _AWAY_WORDS = set(
     "comment comments commentary reply replies respond disqus related recommended recommendations share sharing social toolbar widget login".split()
 )
 _MAIN = ("article", "main")
+#: Elements a main region may be; others, such as lists, tables and quotations, are parts of one.
+_CONTAINERS = {"html", "body", "div", "section", "center", *_MAIN}
 #: A start tag closes open elements of these names by itself.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
@@ -211,57 +213,56 @@ def paths(items: list, page_stream: bool = True) -> Iterator[tuple[tuple[str, ..
 
 
 def _flat(wrapper: list) -> Iterator[tuple[str, str]]:
-    """The wrapper's tokens with each group once; constant texts, which are the template's own, are left out."""
+    """The wrapper's tokens with each group once; constant texts of all pages, which are the template's own, are left out."""
     for kind, value in wrapper:
         if kind in ("(?", "(+"):
-            yield from ((("", "*" * (4 if kind == "(+" else 1)) if k == "" and v == "*" else (k, v)) for k, v in _flat(value))
+            yield from _flat([("*", "") if k == "" else (k, v) for k, v in value])
         elif kind == "*":
             yield "", "*"
         elif kind:
             yield kind, value
 
 
-def region(weights: Counter) -> list[str]:
-    """The deepest path that holds SHARE of the weight; one to an article or main element if that does."""
-    total, sums = sum(weights.values()), Counter()
-    for path, n in weights.items():
-        for depth in range(1, len(path) + 1):
-            sums[path[:depth]] += n
-    if not total:
+def region(weights: Counter) -> list[tuple[str, ...]]:
+    """The paths of the outermost article or main elements if these hold SHARE of the weight; else the deepest container of
+    all of it, so that lists, tables, quotations and sibling sections stay with the paragraphs beside them."""
+    held = [p for p, n in weights.items() if n]
+    named = {p: next((i + 1 for i, x in enumerate(p) if x[1:].split(".")[0] in _MAIN), 0) for p in held}
+    if sum(weights[p] for p in held if named[p]) >= SHARE * sum(weights.values()) > 0:
+        return sorted({p[: named[p]] for p in held if named[p]})
+    if not held:
         return []
-    good = [p for p, n in sums.items() if n >= SHARE * total and p[-1][1:].split(".")[0] not in _INLINE | {"p", "li"}]
-    named = [p for p in good if p[-1][1:].split(".")[0] in _MAIN]
-    return list(max(named or good or [()], key=lambda p: (len(p), p)))
+    low, high = min(held), max(held)
+    path = low[: next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))]
+    while path and path[-1][1:].split(".")[0] not in _CONTAINERS:
+        path = path[:-1]
+    return [path]
 
 
-def wrapper_region(pages: list[str]) -> list[str]:
+def _weights(texts: Iterator[tuple[tuple[str, ...], int, str]], slots: set | None = None) -> Counter:
+    weights: Counter = Counter()
+    for path, away, text in texts:
+        if path and not away and (slots is None or path in slots):
+            weights[path] += len(text.strip())
+    return weights
+
+
+def wrapper_region(pages: list[str]) -> list[tuple[str, ...]]:
     """The main region of a host, from the slots of its wrapper weighted by the text that pages have there."""
     if len(set(pages)) < 2:
         return []
     slots = {path for path, away, _ in paths(list(_flat(infer(sorted(set(pages)))))) if path and not away}
-    weights: Counter = Counter()
-    for page in pages:
-        for path, away, text in paths(tokens(page)):
-            if path in slots and not away:
-                weights[path] += len(text.strip())
-    return region(weights)
+    return region(sum((_weights(paths(tokens(page)), slots) for page in pages), Counter()))
 
 
-def main_text(page: str | None, main: list[str]) -> str:
-    """The text of a page inside ``main``, or inside its own main region where it has none of that."""
+def main_text(page: str | None, main: list) -> str:
+    """The text of a page inside ``main``, or inside its own main region where it has no text there."""
     found = list(paths(tokens(page or "")))
-    kept: list[str] = []
-    goal = tuple(main)
-    for _ in range(2):
-        if goal or not main:
-            kept = [entities.unescape(text) if not path or path[: len(goal)] == goal and not away else "" for path, away, text in found]
-            if "".join(kept).strip() and goal:
-                break
-        weights: Counter = Counter()
-        for path, away, text in found:
-            if path and not away:
-                weights[path] += len(text.strip())
-        goal, main = tuple(region(weights)), []
+    inside = lambda path: any(path[: len(g)] == tuple(g) for g in goal)
+    goal = main
+    if not goal or not any(inside(path) and not away and text.strip() for path, away, text in found):
+        goal = region(_weights(found))
+    kept = [entities.unescape(text) if not path or inside(path) and not away else "" for path, away, text in found]
     return " ".join("".join(kept).split())
 
 

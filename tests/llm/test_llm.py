@@ -216,6 +216,31 @@ def test_html(spark):
     assert ("(+", [("<li", ""), ("*", ""), (">li", "")]) in wrapper and wrapper[-2] == ("*", "")
 
 
+def _html_pages(body, hosts=1, n=8):
+    return [(i, f"http://h{i % hosts}.example/{i}", f"<html><body><nav><a>Home</a></nav>{body(i)}<footer>f</footer></body></html>") for i in range(n)]
+
+
+def _extracted(spark, rows):
+    return {r["page_id"]: r["main_text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_keeps_all_parts_without_article(spark):
+    """Heading and paragraphs stay beside a list, table, quotation, code or a second container that holds most of the text."""
+    long = lambda i: f"long words of page {i} " * 12
+    parts = {
+        "list": lambda i: f"<ul><li>{long(i)}</li><li>b{i}</li></ul>", "table": lambda i: f"<table><tbody><tr><td>{long(i)}</td><td>c{i}</td></tr></tbody></table>",
+        "quote": lambda i: f"<blockquote><p>{long(i)}</p></blockquote>", "code": lambda i: f"<pre>{long(i)}</pre>", "section": lambda i: f"<section><div class='in'><p>{long(i)}</p></div></section>",
+    }
+    for name, part in parts.items():
+        for n in (1, 8):
+            got = _extracted(spark, _html_pages(lambda i, part=part: f"<div class='content'><h1>Title {i}</h1><p>First {i}</p>{part(i)}<p>Last {i}</p></div>", n=n))
+            assert all(t.startswith(f"Title {i} First {i} long") and t.endswith(f"Last {i}") for i, t in got.items()), (name, n)
+    got = _extracted(spark, _html_pages(lambda i: f"<div class='one'><p>{long(i)}</p></div><div class='two'><p>second {i}</p></div>"))
+    assert all(t.startswith("long") and t.endswith(f"second {i}") for i, t in got.items())
+    got = _extracted(spark, _html_pages(lambda i: f"<article class='a'><p>{long(i)}</p></article><div><p>x {i}</p></div><article class='b'><p>second {i}</p></article>"))
+    assert all(t.startswith("long") and t.endswith(f"second {i}") and f"x {i}" not in t for i, t in got.items())
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["mit"].split()
     edited = mit.copy()
