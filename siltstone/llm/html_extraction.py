@@ -6,7 +6,9 @@ different texts become a text slot; where one side goes on with another element
 repeated group; other tags that only one side has become an optional group. The result is a regular expression without
 unions. Its slots and repeated groups hold the data. The main region of a host is the deepest container that holds all of
 the slot text outside navigation, adverts, comments and their like (its article or main elements where they hold most). Every page
-is then cut to that region; pages that lack it, and hosts with a single page, fall back to the same choice on the page.
+is matched against its wrapper and cut to that region: slots, optional and repeated groups stay, blocks of text that is constant
+in the wrapper go, and so do elements named for boilerplate. Pages that match no wrapper are cut by the longer list of names;
+pages with data outside the region, and hosts with a single page, fall back to the same choice of a region on the page.
 
 Defined results: null and empty html, and pages without text, give an empty text; an url that is null or has no host is the
 host ''; repeated rows each get a row; unclosed elements end with their parent or the page; an empty table gives no rows;
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, table
 
-SAMPLE, LOOK, SHARE = 12, 400, 0.6
+SAMPLE, LOOK, SHARE, LEAST, ALIKE, EFFORT = 12, 400, 0.6, 4, 0.5, 64
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
@@ -42,6 +45,11 @@ _AWAY_WORDS = set(
     "subscribe subscription signup sidebar side nav navbar navigation navigational menu breadcrumb breadcrumbs pagination pager header masthead footer foot complementary contentinfo search "
     "comment comments commentary reply replies respond disqus related recommended recommendations share sharing social toolbar widget login".split()
 )
+#: Words of a class, id or role that always mean boilerplate; the other listed words do only on pages that match no wrapper.
+_SURE = set(
+    "ad ads adv advert adverts advertisement advertising promo sponsored cookie cookies consent gdpr newsletter sidebar nav navbar navigation navigational breadcrumb breadcrumbs pagination pager "
+    "masthead complementary contentinfo comment comments disqus related recommended recommendations share sharing social".split()
+)
 _MAIN = ("article", "main")
 #: Elements a main region may be; others, such as lists, tables and quotations, are parts of one.
 _CONTAINERS = {"html", "body", "div", "section", "center", *_MAIN}
@@ -64,8 +72,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
                 continue
             named = {k.lower(): (a or b or c) for k, a, b, c in _NAMED.findall(attrs)} if attrs else {}
             words = set(re.split(r"[^a-z0-9]+", " ".join(named.values()).lower())) if named else set()
-            away = name in _AWAY or bool(words & _AWAY_WORDS) and name not in ("html", "body", *_MAIN)
-            out.append((f"<{name}" + (f".{named['class'].strip()}" if named.get("class", "").strip() else ""), "away" if away else ""))
+            named_away = "" if name in ("html", "body", *_MAIN) else "away" if words & _SURE else "word" if words & _AWAY_WORDS else ""
+            away = "away" if name in _AWAY else named_away
+            out.append((f"<{name}" + (f".{named['class'].strip()}" if named.get("class", "").strip() else ""), away))
     return out
 
 
@@ -188,12 +197,12 @@ def infer(pages: list[str]) -> list:
     return wrapper
 
 
-def paths(items: list, page_stream: bool = True) -> Iterator[tuple[tuple[str, ...], bool, str]]:
-    """(path, away, text) for each text of a token stream; blocks are told apart by a '' text with path None."""
-    stack: list[tuple[str, bool]] = []
+def paths(items: list, page_stream: bool = True) -> Iterator[tuple[tuple[str, ...], int, str]]:
+    """(path, away: 0 if not, 1 by a listed word, 2 for sure, text) for each text of a token stream; blocks are told apart by a '' text with path None."""
+    stack: list[tuple[str, int]] = []
     for kind, value in items:
         if kind == "":
-            yield tuple(x for x, _ in stack), any(a for _, a in stack), value
+            yield tuple(x for x, _ in stack), max((a for _, a in stack), default=0), value
             continue
         name = kind[1:].split(".")[0]
         if kind[0] == "<":
@@ -203,13 +212,13 @@ def paths(items: list, page_stream: bool = True) -> Iterator[tuple[tuple[str, ..
                     break
                 stack.pop()
             if name not in _VOID:
-                stack.append((kind, value == "away"))
+                stack.append((kind, {"away": 2, "word": 1}.get(value, 0)))
         else:
             at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0][1:].split(".")[0] == name), None)
             if at is not None:
                 del stack[at:]
         if name not in _INLINE or name == "wbr":
-            yield (), False, "\n"
+            yield (), 0, "\n"
 
 
 def _flat(wrapper: list) -> Iterator[tuple[str, str]]:
@@ -247,22 +256,114 @@ def _weights(texts: Iterator[tuple[tuple[str, ...], int, str]], slots: set | Non
     return weights
 
 
+def program(wrapper: list) -> list[list]:
+    """The wrapper as steps: ["t", its text where constant in all pages, else null], ["<", tag] and ["|", first way, second way]."""
+    steps: list = []
+
+    def add(items: list, always: bool) -> None:
+        for kind, value in items:
+            if kind == "(?":
+                at = len(steps)
+                steps.append(None)
+                add(value, False)
+                steps[at] = ["|", at + 1, len(steps)]
+            elif kind == "(+":
+                at = len(steps)
+                add(value, False)
+                steps.append(["|", at, len(steps) + 1])
+            else:
+                steps.append(["t", value if always and kind == "" else None] if kind in ("", "*") else ["<", kind])
+
+    add(wrapper, True)
+    return steps
+
+
+def match(steps: list[list], items: list[tuple[str, str]]) -> set[int] | None:
+    """The places of a page's items that are the wrapper's constant texts; None if the page does not match the wrapper. A
+    search that visits each (step, item) once, and EFFORT times their numbers at most."""
+    n, m, limit = len(items), len(steps), EFFORT * (len(items) + len(steps))
+    seen: dict = {}
+    stack: list = [((0, 0), None)]
+    while stack and len(seen) < limit:
+        state, before = stack.pop()
+        if state in seen:
+            continue
+        seen[state] = before
+        at, i = state
+        if at == m:
+            if i < n:
+                continue
+            constant = set()
+            while before is not None:
+                if before[1] < i and steps[before[0]][0] == "t" and steps[before[0]][1] == items[before[1]][1]:
+                    constant.add(before[1])
+                i, before = before[1], seen[before]
+            return constant
+        kind, *value = steps[at]
+        if kind == "|":
+            stack += [((value[1], i), state), ((value[0], i), state)]
+        elif i < n and (items[i][0] == "" if kind == "t" else items[i][0] == value[0]):
+            stack.append(((at + 1, i + 1), state))
+    return None
+
+
+def alike(pages: list[str]) -> list[str]:
+    """The distinct pages that share ALIKE of their tags with the page most like the others: a page of another template would make
+    all of the wrapper optional."""
+    shown = {tuple(x for x in tokens(page) if x[0] or x[1].strip()): page for page in sorted(set(pages), reverse=True)}
+    tags = {page: {kind for kind, _ in items if kind} for items, page in shown.items()}
+    near = {a: [b for b in tags if len(tags[a] & tags[b]) >= ALIKE * len(tags[a] | tags[b])] for a in tags}
+    return sorted(max(near.values(), key=lambda found: (len(found), min(found)), default=[]))
+
+
+def wrapper_of(pages: list[str]) -> dict:
+    """What reading a page of the host takes: ``main``, the region of the slots by the text that pages have there, and ``steps``."""
+    own = alike(pages)
+    if len(own) < 2:
+        return {}
+    wrapper = infer(own)
+    slots = {path for path, away, _ in paths(list(_flat(wrapper))) if path and not away}
+    # A few pages may share a paragraph by chance, so texts are constant in LEAST pages or more.
+    steps = [["t", None] if step[0] == "t" and len(own) < LEAST else step for step in program(wrapper)]
+    main = region(sum((_weights(paths(tokens(page)), slots) for page in own), Counter()))
+    return {"main": main, "steps": steps} if main else {}
+
+
 def wrapper_region(pages: list[str]) -> list[tuple[str, ...]]:
-    """The main region of a host, from the slots of its wrapper weighted by the text that pages have there."""
-    if len(set(pages)) < 2:
-        return []
-    slots = {path for path, away, _ in paths(list(_flat(infer(sorted(set(pages)))))) if path and not away}
-    return region(sum((_weights(paths(tokens(page)), slots) for page in pages), Counter()))
+    return wrapper_of(pages).get("main", [])
+
+
+def _without(items: list, constant: set[int]) -> list:
+    """The items without blocks all of whose text is constant; a constant word beside a slot in one paragraph stays."""
+    out, block = list(items), []
+    for i, (kind, text) in enumerate([*items, (">", "")]):
+        if not kind:
+            block += [i] if text.strip() else []
+        elif kind[1:].split(".")[0] not in _INLINE or kind[1:] == "wbr":
+            for at in block if constant.issuperset(block) else ():
+                out[at] = ("", " ")
+            block = []
+    return out
 
 
-def main_text(page: str | None, main: list) -> str:
-    """The text of a page inside ``main``, or inside its own main region where it has no text there."""
-    found = list(paths(tokens(page or "")))
+def main_text(page: str | None, main: list, steps: list | None = None) -> str:
+    """The text of a page inside ``main``, or inside the page's own region where text that is no boilerplate lies outside. Where
+    the page matches the wrapper, blocks of constant text are left out and only sure words mark boilerplate."""
+    items = tokens(page or "")
+    places = [i for i, (kind, text) in enumerate(items) if kind or text.strip()]
+    constant = match(steps, [items[i] for i in places]) if steps else None
+    if constant:
+        items = _without(items, {places[i] for i in constant})
+    fixed = {value for kind, value, *_ in steps or () if kind == "t" and value}
+    least = 1 if constant is None else 2
+    found = list(paths(items))
+    data = [(path, away, text) for path, away, text in found if path and not away and text.strip() and text not in fixed]
     inside = lambda path: any(path[: len(g)] == tuple(g) for g in goal)
     goal = main
-    if not goal or not any(inside(path) and not away and text.strip() for path, away, text in found):
-        goal = region(_weights(found))
-    kept = [entities.unescape(text) if not path or inside(path) and not away else "" for path, away, text in found]
+    held = [inside(path) for path, _, _ in data]
+    if not any(held) or not all(held) and not all(g and g[-1][1:].split(".")[0] in _MAIN for g in goal):
+        goal = region(_weights(data or found))
+    kept = [entities.unescape(text) if not path or inside(path) and away < least else "" for path, away, text in found]
     return " ".join("".join(kept).split())
 
 
@@ -277,15 +378,17 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", sample: int
     picked = hosts.withColumn("n", F.row_number().over(Window.partitionBy("__host").orderBy(F.xxhash64("__html")))).where(F.col("n") <= sample)
 
     def learn(of: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"__host": [of["__host"].iloc[0]], "__main": [json.dumps(wrapper_region(of["__html"].to_list()))]})
+        wrapper = json.dumps(wrapper_of(of["__html"].to_list())).encode()
+        return pd.DataFrame({"__host": [of["__host"].iloc[0]], "__main": [zlib.compress(wrapper)]})
 
     # Written, so that Spark knows its size and broadcasts it only below its threshold.
-    wrappers = cut(picked.groupBy("__host").applyInPandas(learn, "__host string, __main string"), "wrappers")
+    wrappers = cut(picked.groupBy("__host").applyInPandas(learn, "__host string, __main binary"), "wrappers")
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for own, mains in batches:
-            yield pd.Series([main_text(h, json.loads(m) if m else []) for h, m in zip(own, mains, strict=True)], dtype=object)
+            known = {m: json.loads(zlib.decompress(m)) for m in set(mains) if m}
+            yield pd.Series([main_text(h, w.get("main", []), w.get("steps")) for h, w in ((h, known.get(m, {})) for h, m in zip(own, mains, strict=True))], dtype=object)
 
     return pages.withColumn("__host", host_of(F.col(url))).join(wrappers, "__host", "left").withColumn("main_text", read(F.col(page), F.col("__main"))).drop("__host", "__main")
 

@@ -241,6 +241,26 @@ def test_html_keeps_all_parts_without_article(spark):
     assert all(t.startswith("long") and t.endswith(f"second {i}") and f"x {i}" not in t for i, t in got.items())
 
 
+def test_html_matches_pages_against_the_wrapper(spark):
+    """Constant blocks in the region go, real blocks with a listed word in the class stay; a page of another shape keeps its data."""
+    body = lambda i: (
+        f"<div class='content'><h1>Title {i}</h1><p>Text of {i}</p><div class='box'><p>Follow <b>us</b> now</p></div><div class='side-by-side'><p>left {i}</p></div>"
+        f"<div class='notice'><p>take note {i}</p></div><div class='related-posts'><p>other {i}</p></div><p>The price is {i}</p>" + "".join(f"<p>more {i} {k}</p>" for k in range(i % 3)) + "</div>"
+    )
+    rows = _html_pages(body, n=20)
+    other = "<html><body><nav><a>Home</a></nav><div class='else'><p>Something of its own</p><ul><li>and a list</li></ul></div><footer>f</footer></body></html>"
+    got = _extracted(spark, [*rows, (50, "http://h0.example/o", other)])
+    for i in range(20):
+        more = "".join(f" more {i} {k}" for k in range(i % 3))
+        assert got[i] == f"Title {i} Text of {i} left {i} take note {i} The price is {i}{more}"
+    assert got[50] == "Something of its own and a list"
+    two = _extracted(spark, _html_pages(lambda i: f"<div class='content'><p>shared by chance</p><p>Text of {i}</p></div>", n=2))
+    assert two == {i: f"shared by chance Text of {i}" for i in range(2)}
+    wrapper = html_extraction.program(html_extraction.infer([f"<p>a</p><ul>{'<li>x</li>' * n}</ul>" for n in (1, 2, 3)]))
+    flat = lambda page: html_extraction.tokens(page)
+    assert html_extraction.match(wrapper, flat("<p>a</p><ul>" + "<li>y</li>" * 9 + "</ul>")) == {1} and html_extraction.match(wrapper, flat("<p>a</p><ol></ol>")) is None
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["mit"].split()
     edited = mit.copy()
