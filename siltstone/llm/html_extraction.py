@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, table
 
-SAMPLE, LOOK, SHARE, LEAST, ALIKE, EFFORT = 12, 400, 0.6, 4, 0.5, 64
+SAMPLE, LOOK, SHARE, LEAST, ALIKE, EFFORT, SALTS = 12, 400, 0.6, 4, 0.5, 64, 32
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
@@ -374,8 +374,14 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, page: str = "html", url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """``pages`` with ``main_text``."""
     hosts = pages.select(host_of(F.col(url)).alias("__host"), F.col(page).alias("__html")).where("__html is not null")
-    # At most ``sample`` pages a host leave each task (window group limit), so a hot host is no large group.
-    picked = hosts.withColumn("n", F.row_number().over(Window.partitionBy("__host").orderBy(F.xxhash64("__html")))).where(F.col("n") <= sample)
+    # Hashes are made distinct before they are picked, so copies of a page take one place. At most ``sample`` of a host leave
+    # each of its SALTS parts, so a hot host is no large group; the pages of the picked hashes are then read again.
+    few = lambda rows, *by: rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("__hash"))).where(F.col("n") <= sample)
+    hashes = hosts.select("__host", F.xxhash64("__html").alias("__hash")).distinct()
+    salted = few(hashes.withColumn("salt", F.pmod("__hash", F.lit(SALTS))), "__host", "salt")
+    least = cut(few(salted, "__host").select("__host", "__hash"), "picked-pages")
+    held = hosts.withColumn("__hash", F.xxhash64("__html")).join(least, ["__host", "__hash"])
+    picked = held.groupBy("__host", "__hash").agg(F.min("__html").alias("__html"))
 
     def learn(of: pd.DataFrame) -> pd.DataFrame:
         wrapper = json.dumps(wrapper_of(of["__html"].to_list())).encode()

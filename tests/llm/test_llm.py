@@ -261,6 +261,15 @@ def test_html_matches_pages_against_the_wrapper(spark):
     assert html_extraction.match(wrapper, flat("<p>a</p><ul>" + "<li>y</li>" * 9 + "</ul>")) == {1} and html_extraction.match(wrapper, flat("<p>a</p><ol></ol>")) is None
 
 
+def test_html_samples_distinct_pages(spark):
+    """Copies of a page take one place in the sample of their host."""
+    page = lambda i: f"<div class='content'><p>Text of {i}</p><div class='box'>Follow us</div></div>"
+    rows = _html_pages(page, n=8)
+    low = spark.createDataFrame(rows, "page_id long, url string, html string").orderBy(F.xxhash64("html")).first()
+    got = _extracted(spark, rows + [(100 + i, low["url"], low["html"]) for i in range(20)])
+    assert {got[i] for i in range(8)} == {f"Text of {i}" for i in range(8)}
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["mit"].split()
     edited = mit.copy()
