@@ -38,9 +38,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: the one with the smallest doc_id (a null one last), then the smallest text hash."""
     mark = F.xxhash64("text").alias("__text_hash")
     groups = near_duplicates(docs.select("doc_id", "text", mark), extra=("__text_hash",))
-    # A component without any doc_id is known by its rows' fingerprint class; all of those have component_id null.
+    # A component is known by its root: component_id is null without any doc_id, and rows of two components may share a doc_id.
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__text_hash")
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(order).alias("x")).select("x.doc_id", "x.__text_hash")
+    first = groups.groupBy("root").agg(F.min(order).alias("x")).select("x.doc_id", "x.__text_hash")
     # The same plain columns key the join and the distinct rows, so texts are moved once for both.
     name = [F.col("doc_id").isNull().alias("__n"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__d")]
     first = cut(first.select(*name, "__text_hash"), "kept-documents")

@@ -191,13 +191,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, extra: tuple = ()) -> DataFrame:
-    """One row per row of ``docs``: key, ``extra`` columns, ``fp`` and ``component_id``."""
+    """One row per row of ``docs``: key, ``extra`` columns, ``fp``, ``component_id`` and ``root``, the component's smallest fingerprint."""
     rows = cut(fingerprints(docs, text, key, extra), "fingerprints")
     classes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-classes")
     roots = cut(components(links(classes, radius)), "fingerprint-roots")
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select(key, *extra, "fp", "component_id")
+    return rows.join(named.join(least, "root").select("fp", "component_id", "root"), "fp").select(key, *extra, "fp", "component_id", "root")
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

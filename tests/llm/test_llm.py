@@ -313,6 +313,19 @@ def test_suffix_pieces_equal_library(spark):
     assert suffix_pieces.decode(suffix_pieces.encode(docs(spark, ODD[2:3]), path), path).head()["decoded"] == "alpha beta"
 
 
+def test_near_keeps_one_document_without_id(spark, tmp_path):
+    """Texts without a doc_id whose fingerprints differ in 1 to 4 bits are one group."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    goal = simhash.fingerprint(" ".join(words))
+    other = next(t for t in (" ".join([*words, f"z{i}"]) for i in range(10_000)) if 1 <= (simhash.fingerprint(t) ^ goal).bit_count() <= 4)
+    far = " ".join(f"v{x}" for x in rng.integers(0, 10**6, 400))
+    out = p.near(spark, docs(spark, [(None, " ".join(words), "en"), (None, other, "en"), (None, far, "en")]), str(tmp_path)).collect()
+    assert len(out) == 2 and far in {r["text"] for r in out}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
