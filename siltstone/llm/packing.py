@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from siltstone.llm.common import cut, shuffle_partitions, table
 
@@ -123,27 +122,28 @@ class WordEncoder:
 
 
 def token_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokens: int = TOKENS, end: int = END, ids: bool = False, step: int = 256) -> DataFrame:
-    """(key, piece, start, length, ids_crc32[, ids]) of every document, with ``row``, a number of the document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, F.col(text).alias("__text"))
-    schema = StructType().add("row", LongType()).add(rows.schema[1]).add("piece", IntegerType()).add("start", LongType()).add("length", LongType()).add("ids_crc32", LongType())
-    schema = schema.add("ids", ArrayType(IntegerType())) if ids else schema
+    """(key, piece, start, length, ids_crc32[, ids]) of every document, with ``row``, a number of the document. Only the text
+    goes through Python, so keys of any type stay as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<length:long,ids_crc32:long" + (",ids:array<int>" if ids else "") + ">>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = WordEncoder.of(path)
+
+        def described(piece: np.ndarray) -> dict:
+            return {"length": len(piece), "ids_crc32": zlib.crc32(piece.tobytes())} | ({"ids": piece.astype(np.int32)} if ids else {})
+
         for batch in batches:
+            out = []
             for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                own, out = part[key].tolist(), []
-                for row, k, found in zip(part["row"].tolist(), own, encoder.encode([t or "" for t in part["__text"]]), strict=True):
+                for found in encoder.encode([t or "" for t in batch.iloc[at : at + step]]):
                     found = np.append(found, np.uint32(end)).astype("<u4")
-                    for i, start in enumerate(range(0, len(found), tokens)):
-                        piece = found[start : start + tokens]
-                        out.append((row, None if pd.isna(k) else int(k), i, start, len(piece), zlib.crc32(piece.tobytes()), *([piece.astype(np.int32)] if ids else [])))
-                frame = pd.DataFrame(out, columns=schema.names)
-                frame[key] = frame[key].astype("Int64")
-                yield frame
+                    out.append([described(found[i : i + tokens]) for i in range(0, len(found), tokens)])
+            yield pd.Series(out, dtype=object)
 
-    return rows.mapInPandas(run, schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), run(F.col(text)).alias("__pieces"))
+    rows = rows.select("row", "__key", F.posexplode("__pieces").alias("piece", "p"))
+    start = (F.col("piece") * F.lit(tokens).cast("long")).alias("start")
+    return rows.select("row", F.col("__key").alias(key), "piece", start, "p.length", "p.ids_crc32", *(["p.ids"] if ids else []))
 
 
 def plan(counts: dict[int, int], tokens: int = TOKENS, documents: int | None = None, cost: int | None = None, weights: tuple = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, int]:
@@ -207,17 +207,15 @@ def best_fit(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = No
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps, _ = plan(counts, tokens, documents, cost, weights, rule)
     keys = steps[:, 0] * (1 << 40) + steps[:, 1]
-    ranked = ranks(pieces)
-    schema = StructType([*ranked.drop("rank").schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rank, length = batch.pop("rank").to_numpy(np.int64), batch["length"].to_numpy(np.int64)
-            s = steps[np.searchsorted(keys, length * (1 << 40) + rank, "right") - 1]
-            nth = rank - s[:, 1]
-            yield batch.assign(sequence_id=s[:, 2] + nth // s[:, 3], offset=s[:, 4] + nth % s[:, 3] * length)[schema.names]
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        s = steps[np.searchsorted(keys, length * (1 << 40) + rank, "right") - 1]
+        nth = rank - s[:, 1]
+        return pd.DataFrame({"sequence_id": s[:, 2] + nth // s[:, 3], "offset": s[:, 4] + nth % s[:, 3] * length})
 
-    return ranked.mapInPandas(place, schema)
+    return ranks(pieces).withColumn("__place", place("length", "rank")).select(*pieces.columns, "__place.*")
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokens: int = TOKENS, ids: bool = False, **capacities) -> DataFrame:

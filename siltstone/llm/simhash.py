@@ -51,18 +51,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", extra: tuple = ()) -> DataFrame:
-    """key, ``extra`` columns and ``fp``, the fingerprint as a signed long."""
-    rows = docs.select(key, *extra, F.col(text).alias("__text"))
+    """key, ``extra`` columns and ``fp``, the fingerprint as a signed long. Only the text goes through Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.pop("__text")], np.uint64).view(np.int64)
-            yield batch.assign(fp=fp)
+            yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
 
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType(rows.schema.fields[:-1]).add("fp", LongType())
-    return rows.mapInPandas(run, schema)
+    return docs.select(key, *extra, run(F.col(text)).alias("fp"))
 
 
 def grow(sample: np.ndarray, rows: int, leaf: int = LEAF) -> list[list[tuple]]:
