@@ -45,6 +45,15 @@ def _forget(spark: SparkSession, top: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to clash with no column of ``df``. Operators name their outputs
+    so and leave every column of the input as it is."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, although lambdas inside ``body`` use it for every element."""
     return F.transform(F.array(value), body).getItem(0)

@@ -10,13 +10,19 @@ is matched against its wrapper and cut to that region: slots, optional and repea
 in the wrapper go, and so do elements named for boilerplate. Pages that match no wrapper are cut by the longer list of names;
 pages with data outside the region, and hosts with a single page, fall back to the same choice of a region on the page.
 
+Names of boilerplate are read in context: a class, id or role counts by its whole words, not behind with-, has- or no-; on
+paragraphs, headings and other prose only words for adverts, consent and comments count; a header inside an article is part
+of it; and a form, header or named element that holds most of the page's text, with its article, main and h1, is spared.
+
 Defined results: null and empty html, and pages without text, give an empty text; an url that is null or has no host is the
-host ''; repeated rows each get a row; unclosed elements end with their parent or the page; an empty table gives no rows;
-other columns pass through. Text is never capped.
+host ''; repeated rows each get a row; unclosed elements end with their parent or the page, a head without end tag with its
+first other element; an empty table gives no rows; other columns pass through, and ``main_text`` gets a free name (see
+``common.free``) where the input has such a column. Text is never capped, and nesting may be of any depth.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
@@ -28,18 +34,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, table
+from siltstone.llm.common import cut, free, table
 
-SAMPLE, LOOK, SHARE, LEAST, ALIKE, EFFORT, SALTS = 12, 400, 0.6, 4, 0.5, 64, 32
+SAMPLE, SHARE, LEAST, ALIKE, EFFORT, SALTS = 12, 0.6, 4, 0.5, 64, 32
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|annotation|annotation-xml)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_AWAY = set("nav header footer aside form menu dialog fieldset".split())
+_AWAY = set("header form fieldset".split())
+_NEVER = set("nav footer aside menu dialog button".split())
 _AWAY_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup sidebar side nav navbar navigation navigational menu breadcrumb breadcrumbs pagination pager header masthead footer foot complementary contentinfo search "
@@ -50,6 +57,12 @@ _SURE = set(
     "ad ads adv advert adverts advertisement advertising promo sponsored cookie cookies consent gdpr newsletter sidebar nav navbar navigation navigational breadcrumb breadcrumbs pagination pager "
     "masthead complementary contentinfo comment comments disqus related recommended recommendations share sharing social".split()
 )
+#: Of these, the words that count on prose elements too.
+_LOUD = set("ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter comment comments disqus".split())
+_TALK = set("comment comments disqus reply replies respond commentary".split())
+#: A word behind one of these says what a page has beside the element, or lacks.
+_BESIDE = set("with has have no not without is hide show open".split())
+_PROSE = set("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr figcaption caption".split())
 _MAIN = ("article", "main")
 #: Elements a main region may be; others, such as lists, tables and quotations, are parts of one.
 _CONTAINERS = {"html", "body", "div", "section", "center", *_MAIN}
@@ -58,22 +71,34 @@ _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 _BLOCKS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
+def _name(kind: str) -> str:
+    return kind[1:].split(".")[0]
+
+
+def _named_away(name: str, named: dict[str, str]) -> str:
+    """'away' where the names of an element always mean boilerplate, 'talk' for reader comments, 'word' where they may."""
+    found = set()
+    for own in " ".join(named.values()).lower().split():
+        words = re.split(r"[^a-z0-9]+", own)
+        found.update(w for i, w in enumerate(words) if w in _AWAY_WORDS and not (i and words[i - 1] in _BESIDE))
+    if name in _PROSE or name in _INLINE:
+        found &= _LOUD
+    return "talk" if found & _TALK else "away" if found & _SURE else "word" if found else ""
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
-    """('<name.classes', boilerplate mark), ('>name', '') and ('', text); comments, scripts, styles and the head are left out."""
+    """('<name.classes', boilerplate mark), ('>name', '') and ('', text); comments, scripts, styles and the head's tags are left out."""
     out = []
     for m in _TOKEN.finditer(page):
         skipped, close, name, attrs, text = m.groups()
         if text is not None:
             out.append(("", text))
-        elif name:
-            name = name.lower()
+        elif name and (name := name.lower()) != "head":
             if close:
                 out.append((">" + name, ""))
                 continue
             named = {k.lower(): (a or b or c) for k, a, b, c in _NAMED.findall(attrs)} if attrs else {}
-            words = set(re.split(r"[^a-z0-9]+", " ".join(named.values()).lower())) if named else set()
-            named_away = "" if name in ("html", "body", *_MAIN) else "away" if words & _SURE else "word" if words & _AWAY_WORDS else ""
-            away = "away" if name in _AWAY else named_away
+            away = "" if name in ("html", "body", *_MAIN) else "never" if name in _NEVER else "away" if name in _AWAY else _named_away(name, named) if named else ""
             out.append((f"<{name}" + (f".{named['class'].strip()}" if named.get("class", "").strip() else ""), away))
     return out
 
@@ -82,18 +107,30 @@ def _same(a: tuple, b: tuple) -> bool:
     return a[0] == b[0] and a[0] not in ("(?", "(+")
 
 
-def _element(items: list, at: int) -> int:
-    """The end of the element that starts at ``at``: after the end tag that balances its name, or ``at`` if none does."""
-    name, depth = items[at][0][1:].split(".")[0], 0
-    for i in range(at, min(len(items), at + LOOK)):
+def _ends(items: list) -> dict[int, int]:
+    """Where each element ends: after the end tag that balances its name. Elements that nothing balances are left out."""
+    open_: dict[str, list[int]] = {}
+    out = {}
+    for i, (kind, _) in enumerate(items):
+        if kind.startswith("<"):
+            open_.setdefault(_name(kind), []).append(i)
+        elif kind.startswith(">") and open_.get(kind[1:]):
+            out[open_[kind[1:]].pop()] = i + 1
+    return out
+
+
+def _last_element(items: list) -> int | None:
+    """The start of the element that the last item ends."""
+    if not items or not items[-1][0].startswith(">"):
+        return None
+    name, depth = items[-1][0][1:], 0
+    for i in range(len(items) - 1, -1, -1):
         kind = items[i][0]
-        if kind.startswith("<") and kind[1:].split(".")[0] == name:
-            depth += 1
-        elif kind == ">" + name:
-            depth -= 1
-            if not depth:
-                return i + 1
-    return at
+        depth += kind == ">" + name
+        depth -= kind.startswith("<") and _name(kind) == name
+        if not depth:
+            return i
+    return None
 
 
 def _fits(body: list, items: list, at: int) -> tuple[int, list] | None:
@@ -119,7 +156,7 @@ def _fits(body: list, items: list, at: int) -> tuple[int, list] | None:
     return i, out
 
 
-def _grow_group(out: list, items: list, at: int) -> int:
+def _grow_group(out: list, items: list, at: int, ends: dict[int, int]) -> int:
     """Make the last element of ``out`` a repeated group if the items from ``at`` go on with one like it; where they end."""
     if at >= len(items) or not items[at][0].startswith("<") or not out:
         return at
@@ -129,23 +166,37 @@ def _grow_group(out: list, items: list, at: int) -> int:
             out[-1] = ("(+", got[1])
             return got[0]
         return at
-    end = _element(items, at)
-    if end == at:
+    end = ends.get(at, at)
+    if end == at or out[-1][0] != ">" + _name(items[at][0]):
         return at
-    for start in range(len(out) - 1, max(-1, len(out) - LOOK), -1):
-        if _same(out[start], items[at]) and _element(out, start) == len(out):
-            got = _fits(out[start:], items, at) or _fits(items[at:end], out, start)
-            if got:
-                out[start:] = [("(+", got[1])]
-                return end
-            return at
+    start = _last_element(out)
+    if start is not None and _same(out[start], items[at]):
+        got = _fits(out[start:], items, at) or _fits(items[at:end], out, start)
+        if got:
+            out[start:] = [("(+", got[1])]
+            return end
     return at
 
 
+def _places(items: list) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for i, (kind, _) in enumerate(items):
+        if kind not in ("(?", "(+"):
+            out.setdefault(kind, []).append(i)
+    return out
+
+
+def _next(places: dict[str, list[int]], kind: str, after: int) -> int | None:
+    found = places.get(kind, ())
+    at = bisect.bisect_right(found, after)
+    return found[at] if at < len(found) else None
+
+
 def align(wrapper: list, page: list) -> list:
     """The wrapper generalised so that it also matches the page."""
     out: list = []
     i = j = 0
+    w_ends, p_ends, w_places, p_places = _ends(wrapper), _ends(page), _places(wrapper), _places(page)
     while i < len(wrapper) and j < len(page):
         w, p = wrapper[i], page[j]
         if w[0] in ("(?", "(+"):
@@ -166,13 +217,12 @@ def align(wrapper: list, page: list) -> list:
         elif p[0] == "":
             out.append(("(?", [("*", "")]))
             j += 1
-        elif (end := _grow_group(out, page, j)) > j:
+        elif (end := _grow_group(out, page, j, p_ends)) > j:
             j = end
-        elif (end := _grow_group(out, wrapper, i)) > i:
+        elif (end := _grow_group(out, wrapper, i, w_ends)) > i:
             i = end
         else:
-            in_page = next((n for n in range(j + 1, min(len(page), j + LOOK)) if _same(w, page[n])), None)
-            in_wrapper = next((n for n in range(i + 1, min(len(wrapper), i + LOOK)) if _same(p, wrapper[n])), None)
+            in_page, in_wrapper = _next(p_places, w[0], j), _next(w_places, p[0], i)
             if in_wrapper is not None and (in_page is None or in_wrapper - i <= in_page - j):
                 out.append(("(?", wrapper[i:in_wrapper]))
                 i = in_wrapper
@@ -182,10 +232,11 @@ def align(wrapper: list, page: list) -> list:
             else:
                 out += [("(?", [w]), ("(?", [p])]
                 i, j = i + 1, j + 1
-    rest = wrapper[i:] or page[j:]
-    while rest and wrapper[i:] != rest and (end := _grow_group(out, rest, 0)):
-        rest = rest[end:]
-    return out + ([("(?", rest)] if rest else [])
+    if i < len(wrapper):
+        return out + [("(?", wrapper[i:])]
+    while j < len(page) and (end := _grow_group(out, page, j, p_ends)) > j:
+        j = end
+    return out + ([("(?", page[j:])] if j < len(page) else [])
 
 
 def infer(pages: list[str]) -> list:
@@ -197,28 +248,98 @@ def infer(pages: list[str]) -> list:
     return wrapper
 
 
-def paths(items: list, page_stream: bool = True) -> Iterator[tuple[tuple[str, ...], int, str]]:
-    """(path, away: 0 if not, 1 by a listed word, 2 for sure, text) for each text of a token stream; blocks are told apart by a '' text with path None."""
-    stack: list[tuple[str, int]] = []
+class Tree:
+    """Paths of open elements as numbers: each is its parent's number and its last element. 0 is the empty path."""
+
+    def __init__(self):
+        self.parent, self.kind, self.depth, self.number = [0], [""], [0], {}
+
+    def child(self, of: int, kind: str) -> int:
+        found = self.number.get((of, kind))
+        if found is None:
+            found = self.number[of, kind] = len(self.parent)
+            self.parent.append(of)
+            self.kind.append(kind)
+            self.depth.append(self.depth[of] + 1)
+        return found
+
+    def path(self, node: int) -> list[str]:
+        out = []
+        while node:
+            out.append(self.kind[node])
+            node = self.parent[node]
+        return out[::-1]
+
+    def node(self, path: list[str]) -> int | None:
+        """The number of a path, None where nothing of the page has it."""
+        at = 0
+        for kind in path:
+            at = self.number.get((at, kind), -1)
+            if at < 0:
+                return None
+        return at
+
+    def inside(self, goals: set[int], known: dict[int, bool], node: int) -> bool:
+        """Whether a goal is the node or above it."""
+        way = []
+        while node not in known and node not in goals and node:
+            way.append(node)
+            node = self.parent[node]
+        found = known[node] if node in known else node in goals
+        known.update(dict.fromkeys(way, found))
+        return found
+
+
+def paths(items: list, tree: Tree) -> list[tuple[int, int, str]]:
+    """(path, away: 0 if not, 1 by a listed word, 2 for sure, text) for each text of a token stream; the end of a block is -1, 0 and a newline."""
+    # Elements: path, mark, parent, length of the text, has a main element or first heading.
+    own: list[list] = [[0, "", 0, 0, False]]
+    stack, open_, found = [0], Counter(), []
     for kind, value in items:
         if kind == "":
-            yield tuple(x for x, _ in stack), max((a for _, a in stack), default=0), value
+            found.append((stack[-1], value))
+            own[stack[-1]][3] += len(value.strip())
             continue
-        name = kind[1:].split(".")[0]
+        name = _name(kind)
         if kind[0] == "<":
             closes = _ENDS.get(name, set()) | ({"p"} if name in _BLOCKS_P else set())
-            while stack and closes and stack[-1][0][1:].split(".")[0] in closes | _INLINE and any(x[1:].split(".")[0] in closes for x, _ in stack):
-                if not any(x[1:].split(".")[0] in closes for x, _ in stack[-12:]):
-                    break
-                stack.pop()
+            while len(stack) > 1 and any(open_[x] for x in closes) and _name(tree.kind[own[stack[-1]][0]]) in closes | _INLINE:
+                open_[_name(tree.kind[own[stack.pop()][0]])] -= 1
             if name not in _VOID:
-                stack.append((kind, {"away": 2, "word": 1}.get(value, 0)))
-        else:
-            at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0][1:].split(".")[0] == name), None)
-            if at is not None:
-                del stack[at:]
+                # A header of an article is part of it.
+                mark = "" if name == "header" and any(open_[x] for x in _MAIN) else value
+                own.append([tree.child(own[stack[-1]][0], kind), mark, stack[-1], 0, name == "h1" or name in _MAIN])
+                stack.append(len(own) - 1)
+                open_[name] += 1
+        elif open_[name]:
+            while (last := _name(tree.kind[own[stack.pop()][0]])) != name:
+                open_[last] -= 1
+            open_[name] -= 1
         if name not in _INLINE or name == "wbr":
-            yield (), 0, "\n"
+            found.append((-1, "\n"))
+    away = _away(own)
+    return [(-1, 0, text) if at < 0 else (own[at][0], away[at], text) for at, text in found]
+
+
+def _away(own: list[list]) -> list[int]:
+    """How surely each element is boilerplate, after sparing those that hold what the page is about: more than half of its text,
+    every main element and first heading, and far more than what no name marks."""
+    marked = [False]
+    for _, mark, parent, *_ in own[1:]:
+        marked.append(bool(mark) or marked[parent])
+    length, bare, held = [e[3] for e in own], [e[3] for e in own], [int(e[4]) for e in own]
+    for at in range(len(own) - 1, 0, -1):
+        parent = own[at][2]
+        length[parent] += length[at]
+        held[parent] += held[at]
+        bare[parent] += 0 if own[at][1] else bare[at]
+    free_text, out = bare[0], [0]
+    for at, (_, mark, parent, *_) in enumerate(own[1:], 1):
+        spared = mark and mark != "never" and 2 * length[at] > length[0] and (not free_text and held[0] if mark == "talk" else free_text < length[at] if held[0] else free_text * 4 < length[at]) and held[at] == held[0]
+        if spared and not out[parent]:
+            free_text += bare[at]
+        out.append(max(out[parent], 0 if not mark or spared else 1 if mark == "word" else 2))
+    return out
 
 
 def _flat(wrapper: list) -> Iterator[tuple[str, str]]:
@@ -232,26 +353,37 @@ def _flat(wrapper: list) -> Iterator[tuple[str, str]]:
             yield kind, value
 
 
-def region(weights: Counter) -> list[tuple[str, ...]]:
+def region(weights: Counter, tree: Tree) -> set[int]:
     """The paths of the outermost article or main elements if these hold SHARE of the weight; else the deepest container of
     all of it, so that lists, tables, quotations and sibling sections stay with the paragraphs beside them."""
     held = [p for p, n in weights.items() if n]
-    named = {p: next((i + 1 for i, x in enumerate(p) if x[1:].split(".")[0] in _MAIN), 0) for p in held}
+    named = {}
+    for p in held:
+        at, top = p, 0
+        while at:
+            top = at if _name(tree.kind[at]) in _MAIN else top
+            at = tree.parent[at]
+        named[p] = top
     if sum(weights[p] for p in held if named[p]) >= SHARE * sum(weights.values()) > 0:
-        return sorted({p[: named[p]] for p in held if named[p]})
+        return {named[p] for p in held if named[p]}
     if not held:
-        return []
-    low, high = min(held), max(held)
-    path = low[: next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))]
-    while path and path[-1][1:].split(".")[0] not in _CONTAINERS:
-        path = path[:-1]
-    return [path]
+        return set()
+    common = held[0]
+    for p in held[1:]:
+        while common != p:
+            if tree.depth[common] >= tree.depth[p]:
+                common = tree.parent[common]
+            else:
+                p = tree.parent[p]
+    while common and _name(tree.kind[common]) not in _CONTAINERS:
+        common = tree.parent[common]
+    return {common}
 
 
-def _weights(texts: Iterator[tuple[tuple[str, ...], int, str]], slots: set | None = None) -> Counter:
+def _weights(texts: list[tuple[int, int, str]], slots: set | None = None) -> Counter:
     weights: Counter = Counter()
     for path, away, text in texts:
-        if path and not away and (slots is None or path in slots):
+        if path >= 0 and not away and (slots is None or path in slots):
             weights[path] += len(text.strip())
     return weights
 
@@ -321,16 +453,12 @@ def wrapper_of(pages: list[str]) -> dict:
     own = alike(pages)
     if len(own) < 2:
         return {}
-    wrapper = infer(own)
-    slots = {path for path, away, _ in paths(list(_flat(wrapper))) if path and not away}
+    wrapper, tree = infer(own), Tree()
+    slots = {path for path, away, _ in paths(list(_flat(wrapper)), tree) if path >= 0 and not away}
     # A few pages may share a paragraph by chance, so texts are constant in LEAST pages or more.
     steps = [["t", None] if step[0] == "t" and len(own) < LEAST else step for step in program(wrapper)]
-    main = region(sum((_weights(paths(tokens(page)), slots) for page in own), Counter()))
-    return {"main": main, "steps": steps} if main else {}
-
-
-def wrapper_region(pages: list[str]) -> list[tuple[str, ...]]:
-    return wrapper_of(pages).get("main", [])
+    main = region(sum((_weights(paths(tokens(page), tree), slots) for page in own), Counter()), tree)
+    return {"main": sorted(tree.path(g) for g in main), "steps": steps} if main else {}
 
 
 def _without(items: list, constant: set[int]) -> list:
@@ -339,7 +467,7 @@ def _without(items: list, constant: set[int]) -> list:
     for i, (kind, text) in enumerate([*items, (">", "")]):
         if not kind:
             block += [i] if text.strip() else []
-        elif kind[1:].split(".")[0] not in _INLINE or kind[1:] == "wbr":
+        elif _name(kind) not in _INLINE or kind[1:] == "wbr":
             for at in block if constant.issuperset(block) else ():
                 out[at] = ("", " ")
             block = []
@@ -355,15 +483,15 @@ def main_text(page: str | None, main: list, steps: list | None = None) -> str:
     if constant:
         items = _without(items, {places[i] for i in constant})
     fixed = {value for kind, value, *_ in steps or () if kind == "t" and value}
-    least = 1 if constant is None else 2
-    found = list(paths(items))
-    data = [(path, away, text) for path, away, text in found if path and not away and text.strip() and text not in fixed]
-    inside = lambda path: any(path[: len(g)] == tuple(g) for g in goal)
-    goal = main
-    held = [inside(path) for path, _, _ in data]
-    if not any(held) or not all(held) and not all(g and g[-1][1:].split(".")[0] in _MAIN for g in goal):
-        goal = region(_weights(data or found))
-    kept = [entities.unescape(text) if not path or inside(path) and away < least else "" for path, away, text in found]
+    least, tree = 1 if constant is None else 2, Tree()
+    found = paths(items, tree)
+    data = [(path, away, text) for path, away, text in found if path >= 0 and not away and text.strip() and text not in fixed]
+    goal = {at for g in main if (at := tree.node(g)) is not None}
+    known: dict[int, bool] = {}
+    held = [tree.inside(goal, known, path) for path, _, _ in data]
+    if not any(held) or not all(held) and not all(g and _name(g[-1]) in _MAIN for g in main):
+        goal, known = region(_weights(data or found), tree), {}
+    kept = [text if path < 0 else entities.unescape(text) if away < least and tree.inside(goal, known, path) else "" for path, away, text in found]
     return " ".join("".join(kept).split())
 
 
@@ -372,7 +500,7 @@ def host_of(url: Column) -> Column:
 
 
 def extract(pages: DataFrame, page: str = "html", url: str = "url", sample: int = SAMPLE) -> DataFrame:
-    """``pages`` with ``main_text``."""
+    """``pages`` with ``main_text`` (a free name)."""
     hosts = pages.select(host_of(F.col(url)).alias("__host"), F.col(page).alias("__html")).where("__html is not null")
     # Hashes are made distinct before they are picked, so copies of a page take one place. At most ``sample`` of a host leave
     # each of its SALTS parts, so a hot host is no large group; the pages of the picked hashes are then read again.
@@ -396,7 +524,7 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", sample: int
             known = {m: json.loads(zlib.decompress(m)) for m in set(mains) if m}
             yield pd.Series([main_text(h, w.get("main", []), w.get("steps")) for h, w in ((h, known.get(m, {})) for h, m in zip(own, mains, strict=True))], dtype=object)
 
-    return pages.withColumn("__host", host_of(F.col(url))).join(wrappers, "__host", "left").withColumn("main_text", read(F.col(page), F.col("__main"))).drop("__host", "__main")
+    return pages.withColumn("__host", host_of(F.col(url))).join(wrappers, "__host", "left").withColumn(free(pages, "main_text"), read(F.col(page), F.col("__main"))).drop("__host", "__main")
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
