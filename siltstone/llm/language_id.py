@@ -3,12 +3,14 @@
 The network reads UTF-8 bytes in segments of SEGMENT positions from both ends, h += z * (c - h) with a gate z and a
 candidate c that see the byte and the last state. Every position gets a softmax over the learned languages; a document's
 probabilities are the mean over all its positions. It is trained in numpy by backpropagation through time (Adam) on at
-most SAMPLE excerpts of EXCERPT characters a language, picked by hash among the documents that may be learned from, of at
-most LANGUAGES languages (the most frequent). Only the training set is bounded; prediction reads every byte of every text.
+most SAMPLE excerpts of EXCERPT characters a language and TOTAL in all (but one a language), picked by hash among the
+documents that may be learned from; every language they have is learned. Only the training set is bounded; prediction reads
+every byte of every text.
 
 Defined results: null text, empty text and text without a letter are ``und`` with score 0; without any labelled document
 everything is ``und``; rows with a null doc_id are not held out and not learned from; repeated rows each get a row; long
-texts are cut into segments of a block, so memory does not grow with their length. All input columns pass through.
+texts are cut into segments of a block, so memory does not grow with their length. All input columns pass through as they
+are; outputs whose names the input has get free ones (see ``common.free``).
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import free, table
 
 HIDDEN, SEGMENT, BLOCK = 12, 96, 1024
-SAMPLE, EXCERPT, LANGUAGES, STEPS, BATCH = 500, 480, 200, 260, 128
+SAMPLE, TOTAL, EXCERPT, STEPS, BATCH = 500, 100_000, 480, 260, 128
 
 
 @dataclass
@@ -41,10 +43,11 @@ class Network:
         """x: (positions, segments) bytes. Both directions' states at each position; with ``keep`` what training needs."""
         steps, n = x.shape
         H = self.U.shape[1]
-        out = np.empty((2, steps, n, H), np.float32)
-        acts = np.empty((2, steps, n, 2 * H), np.float32) if keep else None
-        h = np.zeros((2, n, H), np.float32)
-        a = np.empty((2, n, 2 * H), np.float32)
+        kind = self.U.dtype
+        out = np.empty((2, steps, n, H), kind)
+        acts = np.empty((2, steps, n, 2 * H), kind) if keep else None
+        h = np.zeros((2, n, H), kind)
+        a = np.empty((2, n, 2 * H), kind)
         for t in range(steps):
             np.matmul(h, self.U, out=a)
             a[0] += self.E[0].take(x[t], axis=0)
@@ -80,8 +83,9 @@ class Network:
         doc = np.repeat(np.arange(len(texts)), counts)
         part = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * SEGMENT
         place = np.arange(SEGMENT)[:, None]
-        for i in range(0, len(doc), BLOCK):
-            d, s = doc[i : i + BLOCK], part[i : i + BLOCK]
+        block = max(1, min(BLOCK, (1 << 23) // (SEGMENT * k)))
+        for i in range(0, len(doc), block):
+            d, s = doc[i : i + block], part[i : i + block]
             inside = place < (lengths[d] - s)
             p = self.probabilities(np.where(inside, flat[begins[d] + s + place], 0)).reshape(k, SEGMENT, len(d))
             p *= inside
@@ -92,6 +96,34 @@ class Network:
         return total / n, labels / n
 
 
+def loss_and_gradient(net: Network, x: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over all positions of ``x`` (positions, texts), and its gradient by backpropagation through time."""
+    T, batch = x.shape
+    H = net.U.shape[1]
+    s, acts = net.states(x, keep=True)
+    p = s[0] @ net.V[:H] + s[1] @ net.V[H:] + net.c
+    p = np.exp(p - p.max(-1, keepdims=True))
+    p /= p.sum(-1, keepdims=True)
+    loss = float(-np.log(np.maximum(p[:, np.arange(batch), label], 1e-30)).mean())
+    p[:, np.arange(batch), label] -= 1
+    p /= T * batch
+    grad = {"c": p.sum((0, 1)), "V": np.concatenate([np.tensordot(s[d], p, ([0, 1], [0, 1])) for d in (0, 1)]), "E": np.zeros_like(net.E), "U": np.zeros_like(net.U)}
+    for d in (0, 1):
+        own, dout = (s[d], p @ net.V[:H].T) if d == 0 else (s[d][::-1], (p @ net.V[H:].T)[::-1])
+        bytes_ = x if d == 0 else x[::-1]
+        dh = np.zeros((batch, H), s.dtype)
+        for t in range(T - 1, -1, -1):
+            before = own[t - 1] if t else np.zeros((batch, H), s.dtype)
+            g, c = acts[d, t, :, :H], acts[d, t, :, H:]
+            z = 0.5 * g + 0.5
+            dh = dh + dout[t]
+            da = np.concatenate([dh * (c - before) * 0.5 * (1 - g * g), dh * z * (1 - c * c)], 1)
+            grad["U"][d] += before.T @ da
+            np.add.at(grad["E"][d], bytes_[t], da)
+            dh = dh * (1 - z) + da @ net.U[d].T
+    return loss, grad
+
+
 def train(texts: list[bytes], marks: np.ndarray, langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     H, k = HIDDEN, len(langs)
@@ -110,27 +142,7 @@ def train(texts: list[bytes], marks: np.ndarray, langs: list[str], steps: int =
             at = rng.integers(max(1, len(t) - T + 1))
             piece = t[at : at + T]
             x[row, : len(piece)] = np.frombuffer(piece, np.uint8)
-        x = np.ascontiguousarray(x.T)
-        s, acts = net.states(x, keep=True)
-        p = s[0] @ net.V[:H] + s[1] @ net.V[H:] + net.c
-        p = np.exp(p - p.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        p[:, np.arange(BATCH), label] -= 1
-        p /= T * BATCH
-        grad = {"c": p.sum((0, 1)), "V": np.concatenate([np.tensordot(s[d], p, ([0, 1], [0, 1])) for d in (0, 1)]), "E": np.zeros_like(net.E), "U": np.zeros_like(net.U)}
-        for d in (0, 1):
-            own, dout = (s[d], p @ net.V[:H].T) if d == 0 else (s[d][::-1], (p @ net.V[H:].T)[::-1])
-            bytes_ = x if d == 0 else x[::-1]
-            dh = np.zeros((BATCH, H), np.float32)
-            for t in range(T - 1, -1, -1):
-                before = own[t - 1] if t else np.zeros((BATCH, H), np.float32)
-                g, c = acts[d, t, :, :H], acts[d, t, :, H:]
-                z = 0.5 * g + 0.5
-                dh = dh + dout[t]
-                da = np.concatenate([dh * (c - before) * 0.5 * (1 - g * g), dh * z * (1 - c * c)], 1)
-                grad["U"][d] += before.T @ da
-                np.add.at(grad["E"][d], bytes_[t], da)
-                dh = dh * (1 - z) + da @ net.U[d].T
+        _, grad = loss_and_gradient(net, np.ascontiguousarray(x.T), label)
         rate = 0.02 * min(1.0, 2 * (steps - step + 1) / steps)
         for n in names:
             m1[n] += 0.1 * (grad[n] - m1[n])
@@ -146,11 +158,13 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Network | None:
     """The network, from rows that are not held out; None if no such row has a language and a letter."""
     open_ = docs.where(F.col(key).isNotNull() & ~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    counts = open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = open_.groupBy("lang").count().collect()
     if not counts:
         return None
+    sample = max(1, min(sample, TOTAL // len(counts)))
     langs = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 2 * sample / r["count"]) * (1 << 24))))])
+    # Small counts are kept whole, so that no language is missed by chance.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, (2 * sample + 32) / r["count"]) * (1 << 24))))])
     h = F.xxhash64(F.col("k"))
     # Twice as many as needed are expected; the driver drops the rest. An excerpt's place in its text comes from the hash.
     excerpt = F.substring("t", (F.lit(1) + F.pmod(F.shiftright(h, 24), F.greatest(F.length("t") - EXCERPT, F.lit(1)).cast("long"))).cast("int"), F.lit(EXCERPT))
@@ -164,8 +178,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (its pooled probability) and ``lang_shares`` (language: share of positions with its label)."""
+    names = [free(docs, n) for n in ("lang_pred", "score", "lang_shares")]
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "lang_shares": F.create_map().cast("map<string,double>")})
+        return docs.withColumns(dict(zip(names, (F.lit("und"), F.lit(0.0), F.create_map().cast("map<string,double>")), strict=True)))
 
     @F.pandas_udf("lang string, score double, shares array<double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -177,11 +192,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     # The text is nulled where no prediction is due; the network then has nothing to read.
     out = docs.withColumn("__p", predict(F.when(has, F.col(text))))
-    return out.withColumns({
-        "lang_pred": F.when(has, F.col("__p.lang")).otherwise("und"),
-        "score": F.when(has, F.col("__p.score")).otherwise(0.0),
-        "lang_shares": F.when(has, F.map_from_arrays(F.array(*map(F.lit, net.langs)), F.col("__p.shares"))).otherwise(F.create_map().cast("map<string,double>")),
-    }).drop("__p")
+    shares = F.when(has, F.map_from_arrays(F.array(*map(F.lit, net.langs)), F.col("__p.shares"))).otherwise(F.create_map().cast("map<string,double>"))
+    found = (F.when(has, F.col("__p.lang")).otherwise("und"), F.when(has, F.col("__p.score")).otherwise(0.0), shares)
+    return out.withColumns(dict(zip(names, found, strict=True))).drop("__p")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ document is ``kept`` if the tail is at least ``least``.
 Defined results: null, empty and blank texts have no words, only the bucket features; rows with a null or missing label are
 not learned from; several labels of one document count with their lowest grade, and rows that share a doc_id are learned
 from as one; without labels of two different grades every document has expected grade and tail null and is kept; repeated
-rows each get a row; other columns pass through.
+rows each get a row; other columns pass through as they are, and outputs whose names the input has get free ones (see
+``common.free``).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, table
+from siltstone.llm.common import cut, free, table
 
 SIZE, SAMPLE, STEPS, LEAST, RARE = 1 << 18, 4000, 300, 0.5, 8
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -80,6 +81,26 @@ class Ordinal:
         return np.bincount(np.repeat(np.arange(len(rows)), size), self.w[at], len(rows))
 
 
+def thresholds(t: np.ndarray) -> np.ndarray:
+    """The first threshold, and the others by the logarithms of the gaps."""
+    return t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))])
+
+
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, at: np.ndarray, of: np.ndarray, grades: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log likelihood of grades, with l2 / 2 |w|^2, and its gradient in w and t; feature at[i] is in row of[i]."""
+    n, top = len(grades), len(t)
+    tail = Ordinal(w, thresholds(t)).tails(np.bincount(of, w[at], n))
+    over = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
+    i = np.arange(n)
+    up, down = over[i, grades], over[i, grades + 1]
+    p = np.maximum(up - down, 1e-12)
+    slope = np.stack([up * (1 - up), down * (1 - down)], 1) * (weight / p)[:, None]
+    gw = np.bincount(at, -(slope[:, 0] - slope[:, 1])[of], len(w)) + l2 * w
+    gb = np.array([slope[grades == j + 1, 0].sum() - slope[grades == j, 1].sum() for j in range(top)])
+    gt = np.array([gb.sum(), *(gb[j:].sum() * np.exp(t[j]) for j in range(1, top))])
+    return float(-(weight * np.log(p)).sum() + l2 / 2 * (w @ w)), gw, gt
+
+
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l2: float = 1e-3, rare: int = RARE) -> Ordinal:
     """Full-batch Adam on the mean negative log likelihood, each grade weighted alike."""
     size = np.array([len(r) for r in rows])
@@ -90,25 +111,12 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int
     w, t = np.zeros(SIZE), np.concatenate([[-1.0], np.zeros(top - 1)])
     m1, m2 = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
     for step in range(1, steps + 1):
-        b = t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))])
-        model = Ordinal(w, b)
-        tail = model.tails(np.bincount(of, w[at], len(rows)))
-        over = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], 1)
-        i = np.arange(len(rows))
-        up, down = over[i, grades], over[i, grades + 1]
-        p = np.maximum(up - down, 1e-12)
-        slope = np.stack([up * (1 - up), down * (1 - down)], 1) * (weight / p)[:, None]
-        pull = -(slope[:, 0] - slope[:, 1])
-        gw = np.bincount(at, pull[of], SIZE) + l2 * w
-        gb = np.zeros(top)
-        for j in range(top):
-            gb[j] = slope[grades == j + 1, 0].sum() - slope[grades == j, 1].sum()
-        gt = np.array([gb.sum(), *(gb[j:].sum() * np.exp(t[j]) for j in range(1, top))])
+        _, gw, gt = loss_and_gradient(w, t, at, of, grades, weight, l2)
         for k, (x, g) in enumerate(((w, gw), (t, gt))):
             m1[k] += 0.1 * (g - m1[k])
             m2[k] += 0.001 * (g * g - m2[k])
             x -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-9)
-    return Ordinal(w, t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))]))
+    return Ordinal(w, thresholds(t))
 
 
 def grades_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -136,8 +144,9 @@ def fit(docs: DataFrame, graded: DataFrame, text: str = "text", key: str = "doc_
 
 def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail`` and ``kept``."""
+    names = [free(docs, n) for n in ("expected_grade", "tail", "kept")]
     if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail": F.lit(None).cast("double"), "kept": F.lit(True)})
+        return docs.withColumns(dict(zip(names, (F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(True)), strict=True)))
 
     @F.pandas_udf("expected double, tail double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -146,7 +155,7 @@ def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least:
             yield pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, -1]})
 
     out = docs.withColumn("__p", predict(F.col(text)))
-    return out.withColumns({"expected_grade": F.col("__p.expected"), "tail": F.col("__p.tail"), "kept": F.col("__p.tail") >= least}).drop("__p")
+    return out.withColumns(dict(zip(names, (F.col("__p.expected"), F.col("__p.tail"), F.col("__p.tail") >= least), strict=True))).drop("__p")
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:

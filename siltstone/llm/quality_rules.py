@@ -8,20 +8,26 @@ loosest to the tightest is a fixed-sequence test that needs no further correctio
 stratum loses more than alpha of its good documents to any one rule, len(RULES) * alpha in all. Among safe cutoffs the
 one with the largest ``bad rejected - cost * good rejected`` is used, the looser on ties, none if that is not positive.
 
+The tail is exact at any size: the probability of k itself comes from Loader's saddle-point form of the binomial, and the
+terms below it are summed down until they no longer count, a number that grows with the square root of n.
+
 Defined results: null text is the empty text and fails the base rules; a null stratum is the stratum ``und``; documents
 whose label is null or missing are no part of the holdout; a document labelled more than once counts as bad if any label
-is 0; repeated rows count as often as they occur; with no labels no cutoff is safe and only the base rules reject. Other
-columns pass through; a column of the input that has the name of an output column is replaced.
+is 0; rows that share a doc_id are one draw of the holdout, the one with the least (stratum, scores); with no labels no
+cutoff is safe and only the base rules reject. All columns of the input stay as they are, and outputs whose names the input
+has get free ones (see ``common.free``).
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, cut, let, words_of
+from siltstone.llm.common import WORD, cut, free, let, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: rule: (score in thousandths, higher is worse; cutoffs, a score above the cutoff rejects)
@@ -78,40 +84,55 @@ def _repeat_words(words: Column) -> Column:
     return let(words, counted)
 
 
-def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the counts of each whole text and ``base_failed``."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def stats_of(text: Column) -> Column:
+    """struct of the counts of a whole text and ``base_failed``."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    stats = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
-    line_stats = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    of_words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     n_symbols = (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]+", ""))).cast("long")
-    df = df.withColumns({"__words": stats, "__lines": line_stats, "n_symbols": n_symbols})
-    df = df.withColumns({c: F.col(f"__words.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"__lines.{c}") for c in ("n_lines", "n_dup_lines")})
-    return df.drop("__words", "__lines").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    found = lambda w, x: F.struct(*[w[c].alias(c) for c in ("n_words", "word_chars")], n_symbols.alias("n_symbols"), *[x[c].alias(c) for c in ("n_lines", "n_dup_lines")], w["n_repeat_words"].alias("n_repeat_words"), ((w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])).alias("base_failed"))
+    return let(of_words, lambda w: let(of_lines, lambda x: found(w, x)))
 
 
-def _tail(n: Column, k: Column, alpha: float) -> Column:
-    """P(Bin(n, alpha) <= k), summed exactly in logarithms; 1 where k is not below the mean."""
-    import math
+def score_of(rule: str, stats: str) -> Column:
+    """The score of a rule from the column ``stats``."""
+    return F.expr(re.sub(r"\bn_", f"{stats}.n_", rule))
+
+
+def _log_tail_steps(n: Column, k: Column, alpha: float) -> Column:
+    """ln P(Bin(n, alpha) = k) for 0 < k < n, by Loader's form: Stirling's error of n, k and n - k, and two deviances."""
+    exact = [math.lgamma(z + 1) - (z + 0.5) * math.log(z) + z - 0.5 * math.log(2 * math.pi) if z else 0.0 for z in range(16)]
+
+    def error(z):
+        x = F.greatest(z.cast("double"), F.lit(16.0))
+        series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (x * x)) / (x * x)) / (x * x)) / x
+        return F.when(z < 16, F.element_at(F.array(*map(F.lit, exact)), F.least(z, F.lit(15)).cast("int") + 1)).otherwise(series)
+
+    deviance = lambda x, mean: x * F.log(x / mean) + mean - x
+    return error(n) - error(k) - error(n - k) - deviance(k, n * alpha) - deviance(n - k, n * (1 - alpha)) + 0.5 * F.log(n / (2 * math.pi * k * (n - k)))
 
-    first = n * F.lit(math.log1p(-alpha))
-    odds = math.log(alpha) - math.log1p(-alpha)
+
+def _tail(n: Column, k: Column, alpha: float) -> Column:
+    """P(Bin(n, alpha) <= k); 1 where k is not below the mean."""
+    odds = (1 - alpha) / alpha
+    # Below the mean the terms fall at least like a normal density: 12 deviations are far below double precision.
+    steps = F.least(k, F.ceil(12 * F.sqrt(n * (alpha * (1 - alpha)))) + 64).cast("long")
 
     def step(a, i):
-        term = a["term"] + F.log(((n - i + 1) / i).cast("double")) + F.lit(odds)
-        high = F.greatest(a["sum"], term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(F.least(a["sum"], term) - high))).alias("sum"))
+        term = a["term"] * (k - i + 1) * odds / (n - k + i)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.struct(first.alias("term"), first.alias("sum")), step, lambda a: F.exp(a["sum"]))
-    return F.when(k >= n * alpha, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(summed)
+    one = F.lit(1.0)
+    below = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1).cast("long"))), F.struct(one.alias("term"), one.alias("sum")), step, lambda a: a["sum"])
+    return F.when(k >= n * alpha, one).when(k == 0, F.exp(n * math.log1p(-alpha))).otherwise(F.exp(_log_tail_steps(n, k, alpha)) * below)
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, cost: int = COST, label: str = "quality", key: str = "doc_id") -> DataFrame:
+def calibrate(held: DataFrame, labels: DataFrame, stats: str = "stats", stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, cost: int = COST, label: str = "quality", key: str = "doc_id") -> DataFrame:
     """One row per stratum with a holdout and rule: stratum, rule, cutoff (null: none is safe and useful), good, false_rejected, bad_rejected, p_value."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("__good"))
-    held = stats.where(~F.col("base_failed")).join(marks, F.col(key) == F.col("__key")).select(
-        F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), (F.col("__good") > 0).alias("good"), *[F.expr(score).alias(name) for name, (score, _) in rules.items()]
-    )
+    held = held.where(~F.col(f"{stats}.base_failed")).select(F.col(key).alias("__key"), F.struct(F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), *[score_of(score, stats).alias(name) for name, (score, _) in rules.items()]).alias("x"))
+    held = held.join(marks, "__key").groupBy("__key").agg(F.min("x").alias("x"), (F.max("__good") > 0).alias("good")).select("x.*", "good")
     grid = [(name, c) for name, (_, cutoffs) in rules.items() for c in cutoffs]
     sums = [F.count_if("good").alias("n")]
     for i, (name, c) in enumerate(grid):
@@ -127,34 +148,32 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str = "lang", rules:
     return best.select("stratum", "rule", F.col("b.cutoff").alias("cutoff"), "good", F.col("b.k").alias("false_rejected"), F.col("b.bad").alias("bad_rejected"), F.col("b.p_value").alias("p_value"))
 
 
-def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules: dict = RULES) -> DataFrame:
-    """``stats`` with ``kept``: false where the base rules or a cutoff of the row's stratum reject."""
+def judge(rows: DataFrame, cutoffs: DataFrame, stats: str = "stats", stratum: str = "lang", rules: dict = RULES, kept: str = "kept") -> DataFrame:
+    """``rows`` with ``kept``: false where the base rules or a cutoff of the row's stratum reject."""
     per = cutoffs.where(F.col("cutoff").isNotNull()).groupBy(F.col("stratum").alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in rules])
     # Written, so that its size is known and Spark broadcasts it only below its threshold.
     per = cut(per, "quality-cutoffs")
-    df = stats.join(per, F.coalesce(F.col(stratum).cast("string"), F.lit("und")) == F.col("__stratum"), "left")
-    rejected = reduce(lambda a, b: a | b, [F.coalesce(F.expr(score) > F.col(f"__{r}"), F.lit(False)) for r, (score, _) in rules.items()])
-    return df.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("__stratum", *[f"__{r}" for r in rules])
-
+    out = rows.join(per, F.coalesce(F.col(stratum).cast("string"), F.lit("und")) == F.col("__stratum"), "left")
+    rejected = reduce(lambda a, b: a | b, [F.coalesce(score_of(score, stats) > F.col(f"__{r}"), F.lit(False)) for r, (score, _) in rules.items()])
+    return out.withColumn(kept, ~F.col(f"{stats}.base_failed") & ~rejected).drop("__stratum", *[f"__{r}" for r in rules])
 
-def measure(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The written counts of every document, and the cutoffs fitted on those that ``labels`` covers."""
-    stats = cut(text_stats(docs.select("doc_id", F.col(stratum).alias("lang"), F.col(text).alias("text"))).drop("text"), "quality-stats")
-    return stats, calibrate(stats, labels)
 
-
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its counts, ``base_failed`` and ``kept``; all columns of ``docs`` stay."""
+def quality_rules(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` with its counts, ``base_failed`` and ``kept``; all columns of ``docs`` stay, or those of ``columns``."""
+    docs = docs.select(*columns, *{c for c in ("doc_id", "lang", "text") if c not in columns}) if columns else docs
+    at = free(docs, "stats")
     # Counting costs more than writing the rows with their counts, which the cutoffs and the verdict then both read.
-    stats = cut(text_stats(docs), "quality-stats")
-    return judge(stats, calibrate(stats.select("doc_id", "lang", *_STATS, "base_failed"), labels))
+    rows = docs.withColumn(at, stats_of(F.col("text")))
+    rows = cut(rows.select(*columns, *{"lang"} - set(columns), at) if columns else rows, "quality-stats")
+    found = judge(rows, calibrate(rows.select("doc_id", "lang", at), labels, at), at, kept=free(docs, "kept"))
+    own = columns or docs.columns
+    outputs = [F.col(f"{at}.{n}").alias(free(docs.select(*own), n)) for n in (*_STATS, "base_failed")]
+    return found.select(*own, *outputs, F.col(free(docs, "kept")).alias(free(docs.select(*own), "kept")))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from siltstone.llm.common import table
-
-    stats, cutoffs = measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judge(stats, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:
@@ -179,7 +198,7 @@ f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_fa
 m AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 g AS ({tests}),
 c AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {case} > cutoff) AS k, count(*) FILTER (NOT good AND {case} > cutoff) AS bad
-      FROM f JOIN m USING (doc_id) CROSS JOIN g WHERE NOT base_failed GROUP BY ALL),
+      FROM (SELECT x.*, good FROM (SELECT min({{'stratum': stratum, {', '.join(f"'s_{r}': s_{r}" for r in RULES)}}}) AS x, any_value(good) AS good FROM f JOIN m USING (doc_id) WHERE NOT base_failed GROUP BY doc_id)) CROSS JOIN g GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln({1 - ALPHA}))) FROM generate_series(0, k) AS s(i)) END AS p_value FROM c),
 b AS (SELECT stratum, rule, arg_max(cutoff, (bad - {COST} * k) * 100000 + cutoff) AS cutoff FROM p
       WHERE bad - {COST} * k > 0 AND p_value * (SELECT count(DISTINCT stratum) FROM c) * {len(RULES)} <= {DELTA} GROUP BY stratum, rule)

@@ -9,8 +9,9 @@ symbols it covers, the best-scored edge of a chunk first, the leftmost on ties.
 Characters that no piece covers become byte pieces, or the unknown id where the model has none.
 
 Defined results: null text is the empty text, with no ids; texts of any length are read whole, in blocks of chunks, so the
-index stays bounded; decoding gives the normalised text, which is the text itself for a model without normalisation;
-repeated rows each get a row; an empty table gives no rows; other columns pass through.
+index stays bounded by the longest chunk: a chunk is merged whole, and one without any space takes about 200 bytes a character; decoding gives the normalised text, which is the text itself for a model without normalisation;
+repeated rows each get a row; an empty table gives no rows; other columns pass through as they are, and outputs whose names
+the input has get free ones (see ``common.free``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import free, table
 
 SPACE, STOP, CHARS, LONG, KNOWN = "▁", "\x00", 150_000, 48, 300_000
 _NONE = np.int32(2**31 - 1)
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", step: int = 1024) ->
         for batch in batches:
             yield pd.Series([x.astype(np.int32) for i in range(0, len(batch), step) for x in coder.encode([t or "" for t in batch.iloc[i : i + step]])], dtype=object)
 
-    return docs.withColumn("ids", run(F.col(text)))
+    return docs.withColumn(free(docs, "ids"), run(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -222,7 +223,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             yield pd.Series([coder.decode(np.asarray(x, np.int64)) if x is not None else "" for x in batch], dtype=object)
 
-    return docs.withColumn("decoded", run(F.col(ids)))
+    return docs.withColumn(free(docs, "decoded"), run(F.col(ids)))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", step: int = 1024) -> DataFrame:
@@ -238,7 +239,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", step: int = 1024) ->
                 rows += [(len(x), zlib.crc32(x.astype("<u4").tobytes()), coder.decode(x) == t) for t, x in zip(texts, coder.encode(texts), strict=True)]
             yield pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "round_trip"])
 
-    return docs.withColumn("__d", run(F.col(text))).select(*docs.columns, "__d.*")
+    return docs.withColumn("__d", run(F.col(text))).select(*docs.columns, *[F.col(f"__d.{n}").alias(free(docs, n)) for n in ("n_ids", "ids_crc32", "round_trip")])
 
 
 def piece_bpe() -> str:

@@ -22,20 +22,22 @@ def test_quality_rules(spark):
     rows = [(i, LINE + f" w{i}" * 1, "en") for i in range(400)] + [(1000 + i, " ".join(f"{w}### " for w in (LINE + f" z{i}").split()), "en") for i in range(50)] + ODD
     labels = spark.createDataFrame([(i, int(i < 1000), 0) for i in [*range(400), *range(1000, 1050)]] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     out = quality_rules.quality_rules(docs(spark, rows), labels).collect()
-    kept = {r["doc_id"]: r["kept"] for r in out}
+    # The rows bring a column ``kept`` of their own, which stays.
+    kept = {r["doc_id"]: r["kept_"] for r in out}
+    assert {r["kept"] for r in out} == {"mine"}
     assert len(out) == len(rows) and all(kept[i] for i in range(400)) and not any(kept[i] for i in range(1000, 1050))
     assert not any(kept[i] for i in (9001, 9002, 9004, 9005, 9007))
     by = {r["doc_id"]: r for r in out}
     assert by[9004]["n_repeat_words"] == 30_000 and by[9001]["n_words"] == 0
     none = quality_rules.quality_rules(docs(spark, rows[:3]), labels.where("false")).collect()
-    assert [r["kept"] for r in none] == [True] * 3
+    assert [r["kept_"] for r in none] == [True] * 3
     assert quality_rules.quality_rules(docs(spark, []), labels.where("false")).count() == 0
 
 
 def test_repeat_words_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(list("abc"), int(n))) for n in rng.integers(0, 60, 80)]
-    got = quality_rules.text_stats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", quality_rules.stats_of(F.col("text")).alias("x")).select("doc_id", "x.*").collect()
     for r in got:
         w = texts[r["doc_id"]].split()
         c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -85,15 +87,15 @@ def test_language_id(spark):
     vocab = {"en": "the and thing with ation".split(), "de": "der und sch keit ung".split()}
     rows = [(i, " ".join(rng.choice(vocab[k], 60)), k) for i in range(160) for k in [("en", "de")[i % 2]]]
     net = language_id.fit(docs(spark, rows + ODD[:3]))
-    out = language_id.identify(docs(spark, rows + ODD + [(900, "12 !!", "en")]).drop("score"), net).collect()
-    assert len(out) == len(rows) + len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in out)
+    out = language_id.identify(docs(spark, rows + ODD + [(900, "12 !!", "en")]), net).collect()
+    assert len(out) == len(rows) + len(ODD) + 1 and all(0 <= r["score_"] <= 1 and r["score"] == "mine" for r in out)
     by = {r["doc_id"]: r["lang_pred"] for r in out}
     assert np.mean([by[i] == k for i, _, k in rows]) > 0.95 and {by[i] for i in (9001, 9002, 9007, 900)} == {"und"}
     assert language_id.fit(docs(spark, [])) is None
-    assert language_id.identify(docs(spark, ODD).drop("score"), None).select("lang_pred").distinct().count() == 1
+    assert language_id.identify(docs(spark, ODD), None).select("lang_pred").distinct().count() == 1
 
 
-def test_gradients():
+def test_training_and_padding():
     x = np.random.default_rng(0).integers(97, 123, (64, 3)).astype(np.uint8)
     net = language_id.train([b"abcabc" * 20, b"xyzxyz" * 20], np.array([0, 1]), ["a", "x"], steps=200)
     p = net.documents([b"abcabc" * 30, b"xyzxyz" * 30, b""])[0]
@@ -289,11 +291,11 @@ def test_quality_classifier(spark):
     make = lambda g: " ".join([*rng.choice(words, 40), *(["awful", "scum"] if g == 1 else []), *(["a### b$$$"] * 8 if g == 0 else [])])
     rows = [(i, make(i % 3), "en") for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 1)) for i in range(300)] + [(None, 1, 0), (301, None, 1)], "doc_id long, quality int, toxic int")
-    data = docs(spark, rows + ODD).drop("kept")
+    data = docs(spark, rows + ODD)
     model = quality_classifier.fit(docs(spark, rows), quality_classifier.grades_of(labels))
     assert model.b[0] < model.b[1]
     out = quality_classifier.classify(data, model).collect()
-    good = [r["kept"] == (r["doc_id"] % 3 == 2) for r in out[:300]]
+    good = [r["kept_"] == (r["doc_id"] % 3 == 2) and r["kept"] == "mine" for r in out[:300]]
     assert len(out) == len(rows) + len(ODD) and np.mean(good) > 0.95 and all(0 <= r["expected_grade"] <= 2 for r in out)
     assert quality_classifier.fit(data, quality_classifier.grades_of(labels.where("false"))) is None
     again = quality_classifier.fit(docs(spark, rows + rows[:1] * 50), quality_classifier.grades_of(labels))
