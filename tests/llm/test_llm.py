@@ -107,7 +107,7 @@ def test_line_dedup(spark):
     line = lambda: " ".join(rng.choice(LINE.split(), 12)) + f" {rng.integers(10**9)}"
     shared = [line() for _ in range(12)]
     rows = [(i, "\n".join([line() for _ in range(6)] + shared + [line() for _ in range(6)]), "en") for i in range(20)]
-    out = line_dedup.dedup_lines(docs(spark, rows + ODD), spans=True).collect()
+    out = line_dedup.dedup_lines(docs(spark, rows + ODD), rule="rolling", spans=True).collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == len(rows) + len(ODD) and by[0]["text"] == rows[0][1]
     assert all(by[i]["n_removed"] >= 1 and by[i]["n_chars"] == len(by[i]["text"]) for i in range(1, 20))
@@ -123,7 +123,7 @@ def test_line_dedup_spares_unequal_chunks(spark, monkeypatch):
     shared = [(i, "\n".join("x" + line(0, j) for j in range(4)), "en") for i in range(10, 12)]
     first = lambda c: F.ascii(F.substring(c, 1, 1)).cast("long")
     monkeypatch.setattr(line_dedup, "_hashes", lambda c: (first(c).alias("a"), F.when(c.startswith("x"), F.xxhash64(c)).otherwise(1).alias("b")))
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, own + shared)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, own + shared), rule="rolling").collect()}
     rest = texts.pop(11)
     # The lone last line is a chunk of its own, too short to be removed.
     assert texts == {i: t for i, t, _ in own + shared[:1]} and shared[1][1].endswith(rest) and len(rest) < len(shared[1][1])
@@ -138,13 +138,13 @@ def test_line_runs_remove_short_passages(spark):
     rows = [(p * 10 + i, "\n".join([*own[p, i][0], *lines, *own[p, i][1]]), "en") for p, lines in enumerate(passages) for i in range(4)]
     twice = [line() for _ in range(2)]
     rows += [(80, "\n".join(twice * 3), "en"), (81, "one two\nthree four", "en"), (82, "one two\nthree four", "en")]
-    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), runs=True).collect()}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
     for p, lines in enumerate(passages):
         assert out[p * 10] == rows[p * 4][1]
         for i in range(1, 4):
             assert out[p * 10 + i] == "\n".join([*own[p, i][0], *own[p, i][1]]), (p, i)
     assert out[80] == "\n".join(twice) and out[81] == out[82] == "one two\nthree four"
-    odd = line_dedup.dedup_lines(docs(spark, ODD), runs=True).collect()
+    odd = line_dedup.dedup_lines(docs(spark, ODD)).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in odd) == sorted((str(i), str(t)) for i, t, _ in ODD)
 
 
