@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to and read from the folder in spark.checkpoint.dir; a temporary one where that is unset."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
-    path = f"{top.rstrip('/')}/siltstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from siltstone.operators.spread import ranked, written
 
 def copy_groups(df: DataFrame, key: str, member: str, least: int = 2) -> DataFrame:
-    """Members of each key that at least ``least`` rows share, sorted."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(member)).alias("members")).where(F.col("n") >= least)
+    """(key, n, first, member): a row for each member of a key that at least ``least`` rows share, with its least member; long
+    texts are given by their hash. Groups are rows and never arrays, so a key of any size is spread over tasks."""
+    groups = written(df.groupBy(key).agg(F.count("*").alias("n"), F.min(member).alias("first")).where(F.col("n") >= least), "copied-keys")
+    return df.select(key, member).join(groups, key).select(key, "n", "first", member)
 
 
 def label_conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -37,7 +26,8 @@ def drop_label_conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def keep_best(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    """The row of each key with the least ``order``, picked in each task before anything moves."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__best")).select("__best.*")
 
 
 def majority_label(df: DataFrame, group: str, label: str, pos: str) -> DataFrame:
@@ -56,8 +46,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_pairs(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """(group, a, b, sim) for a < b within a group; groups are capped by the caller (30 comments a post)."""
+def within_cap(df: DataFrame, group: str, most: int) -> DataFrame:
+    """``df``, with an error when it is read if a group has more than ``most`` rows."""
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    large = F.raise_error(F.format_string(f"a group has %d rows, more than {most}", F.col("__n")))
+    return df.join(sizes, F.col(group) == F.col("__g")).where(F.when(F.col("__n") > most, large.cast("boolean")).otherwise(F.lit(True))).drop("__g", "__n")
+
+
+def vector_pairs(df: DataFrame, group: str, key: str, vector: str, most: int = 30) -> DataFrame:
+    """(group, a, b, sim) for a < b within a group. A group of more than ``most`` rows is an error: the contract is 30 comments a
+    post, and pairs grow with the square."""
+    df = within_cap(df, group, most)
     a = df.select(F.col(group).alias("g"), F.col(key).alias("a"), F.col(vector).alias("va"))
     b = df.select(F.col(group).alias("g"), F.col(key).alias("b"), F.col(vector).alias("vb"))
     return a.join(b, "g").where("a < b").select(F.col("g").alias(group), "a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
@@ -110,29 +109,53 @@ def group_features(groups: DataFrame, comments: DataFrame, group: str, key: str,
     return out.select(group, *[(F.when(alone, 0.0).otherwise(F.coalesce(F.col(f), F.lit(0.0))) if f.startswith("semantic") else F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in FEATURES])
 
 
-def char_ngrams(text: Column, low: int, high: int) -> Column:
-    """All character n-grams of a lower-case text whose runs of two and more white space are one space."""
-    clean = F.regexp_replace(F.lower(text), r"\s\s+", " ")
-    grams = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    # A lambda evaluates what it captures once per element, so the clean text is bound first.
-    return F.transform(F.array(clean), lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)])).getItem(0)
+def char_grams(df: DataFrame, keys: list[str], text: str, low: int, high: int, size: int = 256) -> DataFrame:
+    """(keys, term): a row for each character n-gram of a lower-case text whose runs of two and more white space are one space.
+
+    Places in a string are found by counting from its start, so texts are first cut into pieces of ``size`` places that reach
+    over into the next by ``high - 1`` characters. The rest is generated code over rows, not lambdas over arrays.
+    """
+    clean = df.select(*keys, F.regexp_replace(F.lower(F.col(text)), r"\s\s+", " ").alias("__t")).where(F.length("__t") > 0)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("__t") - 1) / size).cast("int")), lambda k: F.substring("__t", k * size + 1, F.lit(size + high - 1)))
+    rows = clean.select(*keys, F.explode(pieces).alias("__c"))
+    rows = rows.select(*keys, "__c", F.explode(F.sequence(F.lit(1), F.least(F.length("__c"), F.lit(size)))).alias("__i"))
+    grams = [F.when(F.col("__i") + (n - 1) <= F.length("__c"), F.substring("__c", F.col("__i"), F.lit(n))) for n in range(low, high + 1)]
+    return rows.select(*keys, F.explode(F.array(*grams)).alias("term")).where("term is not null")
 
 
 def char_tfidf(df: DataFrame, keys: list[str], text: str, low: int = 2, high: int = 4, min_df: int = 1, within: list[str] | None = None, max_features: int | None = None, sublinear: bool = True) -> DataFrame:
-    """(keys, term, weight): L2-normalised tf-idf with smooth idf ln((1 + n) / (1 + df)) + 1, fitted per ``within`` group."""
+    """(keys, term, weight): L2-normalised tf-idf with smooth idf ln((1 + n) / (1 + df)) + 1, fitted on all rows, or with
+    ``within`` (among the keys) on each group. Groups are dealt once, as texts: their further steps run where they lie."""
     within = within or []
-    grams = df.select(*keys, F.explode(char_ngrams(F.col(text), low, high)).alias("term"))
-    tf = grams.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    stats = tf.groupBy(*within, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    if max_features:
-        stats = stats.withColumn("r", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("cf"), "term"))).where(F.col("r") <= max_features).drop("r")
-    n = df.groupBy(*within).agg(F.count("*").alias("n"))
-    stats = stats.join(n, within) if within else stats.crossJoin(F.broadcast(n))
-    raw = tf.join(stats, [*within, "term"]).withColumn("w", (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    # N-grams are many times their text, so texts are dealt over all tasks; a stated number of partitions is not put together again.
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(within or keys))
+    tf = char_grams(df, keys, text, low, high).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    if within:
+        n = df.groupBy(*within).agg(F.count("*").alias("n"))
+        group = Window.partitionBy(*within, "term")
+        stats = tf.withColumns({"df": F.count("*").over(group), "cf": F.sum("tf").over(group)}).where(F.col("df") >= min_df)
+        if max_features:
+            stats = stats.withColumn("r", F.dense_rank().over(Window.partitionBy(*within).orderBy(F.desc("cf"), "term"))).where(F.col("r") <= max_features)
+        raw = stats.join(n, within)
+    else:
+        tf = written(tf, "term-counts")
+        raw = tf.join(vocabulary(tf, df.count(), min_df, max_features), "term")
+    raw = raw.withColumn("w", (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    if within:
+        return raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
     norm = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def vocabulary(tf: DataFrame, n: int, min_df: int = 1, max_features: int | None = None) -> DataFrame:
+    """(term, df, cf, n) of the terms of at least ``min_df`` rows, the ``max_features`` most frequent by count, then by term."""
+    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
+    if max_features:
+        stats = stats.orderBy(F.desc("cf"), "term").limit(max_features)
+    # Written, so that its size is known where it is joined.
+    return written(stats.withColumn("n", F.lit(n).cast("long")), "vocabulary")
+
+
 def similar_pairs(vectors: DataFrame, group: str, pos: str, least: float) -> DataFrame:
     """(group, a, b, sim) with cosine >= least for a < b of one group, over shared terms."""
     a = vectors.select(group, "term", F.col(pos).alias("a"), F.col("weight").alias("wa"))
@@ -140,24 +163,41 @@ def similar_pairs(vectors: DataFrame, group: str, pos: str, least: float) -> Dat
     return a.join(b, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).where(F.col("sim") >= least)
 
 
-def near_pairs(vectors: DataFrame, key: str, least: float = 0.92, rest: float = 0.8, neighbours: int = 5) -> DataFrame:
-    """(a, b, sim): for each row its ``neighbours`` nearest others with cosine >= least, exactly.
+def near_pairs(vectors: DataFrame, key: str, least: float = 0.92, neighbours: int = 5) -> DataFrame:
+    """(a, b, sim): for each row its ``neighbours`` nearest others with cosine >= least, exactly. vectors: key, term, weight, of
+    unit length.
 
-    Terms go by rising document frequency; a row's leading terms, until what remains has norm below ``rest``, are joined. The
-    remaining terms add at most ``rest`` to a product of unit vectors, so every pair that counts has a partial sum of at
-    least least - rest; such candidates are verified on all terms.
+    Terms have one order, by rising document frequency. A row's prefix are its leading terms while the norm of what is left is at
+    least ``least``; rows whose prefixes share no term have a smaller product. Rows meet on prefix terms, and a pair's common
+    prefix terms are summed together with the squared norms ta, tb left after the last of them. Whatever else the pair shares
+    lies behind it, and one of the two prefixes ends there with less than ``least`` left, so the product is at most
+    sum + min(sqrt(ta * tb), least * sqrt(max(ta, tb))). Few pairs reach ``least`` so; they are compared on all terms.
     """
-    df_ = vectors.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = vectors.join(df_, "term")
-    after = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    lead = ranked.withColumn("tail", F.sum(F.col("weight") * F.col("weight")).over(after)).where(F.col("tail") >= rest * rest)
-    x, y = lead.select("term", F.col(key).alias("a"), F.col("weight").alias("wa")), lead.select("term", F.col(key).alias("b"), F.col("weight").alias("wb"))
-    partial = x.join(y, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p")).where(F.col("p") >= least - rest - 1e-9).select("a", "b")
-    left = vectors.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
-    right = vectors.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
-    sims = partial.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).where(F.col("sim") >= least)
+    counts = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    ranked_terms = vectors.join(counts, "term").select(key, F.col("df"), F.xxhash64("term").alias("t"), "term", "weight")
+    after = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("t"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    lead = ranked_terms.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(after)).where((F.col("left") >= (least - 1e-9) ** 2) & (F.col("df") > 1))
+    lead = written(lead.select(key, "term", F.col("weight").alias("w"), (F.col("left") - F.col("weight") * F.col("weight")).alias("left")), "prefixes")
+    side = lambda n: lead.select("term", F.col(key).alias(n), F.col("w").alias(f"w{n}"), F.greatest("left", F.lit(0.0)).alias(f"t{n}"))
+    # Norms fall along the order, so those after the last common term are the least.
+    met = side("a").join(side("b"), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
+    bound = F.col("p") + F.least(F.sqrt(F.col("ta") * F.col("tb")), least * F.sqrt(F.greatest("ta", "tb")))
+    candidates = written(met.where(bound >= least - 1e-6).select("a", "b"), "candidates")
+    one = vectors.join(candidates.select(F.col("a").alias(key)).union(candidates.select("b")).distinct(), key)
+    whole = written(one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v")), "candidate-vectors")
+    pairs = candidates.join(whole.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
+    pairs = pairs.select("a", "b", "vb", F.explode("va").alias("term", "wa")).withColumn("wb", F.try_element_at("vb", F.col("term")))
+    sims = written(pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.coalesce("wb", F.lit(0.0))).alias("sim")).where(F.col("sim") >= least), "near-pairs")
     both = sims.union(sims.select("b", "a", "sim"))
-    return both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= neighbours).drop("r")
+    return both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))).where(F.col("r") <= neighbours).drop("r")
+
+
+def near_text_edges(df: DataFrame, key: str, text: str, least: float = 0.92, low: int = 3, high: int = 5, min_df: int = 2, max_features: int | None = 50_000, neighbours: int = 5) -> DataFrame:
+    """(a, b, sim) between rows of nearly the same text: the rows that stand first for their text, as copies are linked by
+    other edges, and the terms of those texts."""
+    first = df.groupBy(F.sha2(text, 256)).agg(F.min(F.struct(key, text)).alias("x")).select(f"x.{key}", f"x.{text}")
+    first = written(first, "distinct-texts")
+    return near_pairs(char_tfidf(first, [key], text, low, high, min_df, max_features=max_features), key, least, neighbours)
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -181,6 +221,17 @@ def copy_edges(df: DataFrame, key: str, node: str) -> DataFrame:
     return df.join(first, key).where(F.col(node) != F.col("b")).select(F.col(node).alias("a"), "b")
 
 
+def safe_groups(df: DataFrame, node: str, keys: list[str], edges: DataFrame | None = None) -> DataFrame:
+    """(node, component): rows joined by any of ``keys`` (the same text, the same origin), stars and not all pairs, and by ``edges``
+    (a, b) of near copies. A missing origin is the caller's error to raise; null keys join nothing."""
+    every = edges.select("a", "b") if edges is not None else None
+    for key in keys:
+        one = copy_edges(df, key, node)
+        every = one if every is None else every.union(one)
+    roots = connected(every)
+    return df.select(node).join(roots, F.col(node) == F.col("node"), "left").select(node, F.coalesce("root", node).alias("component"))
+
+
 def coordination(comments: DataFrame, group: str, pos: str, key: str, least: float = 0.78, shortest: int = 4, low: int = 2, high: int = 4) -> DataFrame:
     """The heuristic report per group from normalised comments ``key``: counts, pairs, clusters, score in [0, 1], risk."""
     from siltstone.functions.text import clip01, risk_band
@@ -213,25 +264,51 @@ def coordination(comments: DataFrame, group: str, pos: str, key: str, least: flo
 
 def group_split(groups: DataFrame, group: str, label: str, parts: tuple = (("fit", 50), ("dev", 15), ("calibration", 15), ("test_locked", 20)), seed: str = "42") -> DataFrame:
     """A split for each group, stratified by label: groups in hash order, cut at cumulative percents."""
-    w = Window.partitionBy(label)
-    placed = groups.withColumn("__r", F.row_number().over(w.orderBy(F.sha2(F.concat_ws("-", F.col(group).cast("string"), F.lit(seed)), 256)))).withColumn("__n", F.count("*").over(w))
+    placed = ranked(groups, label, F.sha2(F.concat_ws("-", F.col(group).cast("string"), F.lit(seed)), 256), "__r")
+    n = groups.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    placed = placed.join(n, F.col(label).eqNullSafe(F.col("__l")))
     done, case = 0, None
     for name, percent in parts[:-1]:
         done += percent
         here = F.col("__r") * 100 <= F.col("__n") * done
         case = F.when(here, name) if case is None else case.when(here, name)
-    return placed.withColumn("split", case.otherwise(parts[-1][0])).drop("__r", "__n")
+    return placed.withColumn("split", case.otherwise(parts[-1][0])).drop("__r", "__n", "__l")
+
+
+def holdout(groups: DataFrame, group: str, label: str, percent: int = 15, seed: str = "42") -> DataFrame:
+    """``groups`` with ``split``: ``holdout`` for ``percent`` of each label, else ``train``."""
+    return group_split(groups, group, label, (("holdout", percent), ("train", 100 - percent)), seed)
 
 
-def folds(groups: DataFrame, group: str, size: str, k: int = 5) -> DataFrame:
-    """GroupKFold: largest group to the lightest fold, on a table of group sizes that the caller bounds."""
-    rows = sorted(((r[size], str(r[group]), r[group]) for r in groups.select(group, size).collect()), key=lambda r: (-r[0], r[1]))
+def deal(counts: dict[int, int], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first rank, groups, folds): the largest groups first, each to the lightest fold (the first on ties). Groups of one
+    size are alike, so whole rounds are dealt at once: from its first rank on, a row's groups go to its folds in turn."""
     load, out = [0] * k, []
-    for n, _, g in rows:
-        f = load.index(min(load))
-        load[f] += n
-        out.append((g, f))
-    return groups.sparkSession.createDataFrame(out, f"{group} {groups.schema[group].dataType.simpleString()}, fold int")
+    for size in sorted(counts, reverse=True):
+        todo, rank = counts[size], 0
+        while todo:
+            order = sorted(range(k), key=lambda f: (load[f], f))
+            base = load[order[0]]
+            part = [f for f in order if load[f] - base < size]
+            above = min((load[f] for f in order if f not in part), default=None)
+            n = min(todo, len(part) * (todo if above is None else max(1, (above - base) // size)))
+            out.append((size, rank, n, part))
+            for i, f in enumerate(part):
+                load[f] += size * (n // len(part) + (i < n % len(part)))
+            rank, todo = rank + n, todo - n
+    return out
+
+
+def folds(groups: DataFrame, group: str, size: str, k: int = 5, seed: str = "42") -> DataFrame:
+    """(group, fold), GroupKFold: the largest group to the lightest fold, groups of one size in hash order. The driver gets the
+    number of groups of each size, and no group."""
+    counts = {r[size]: r["n"] for r in groups.groupBy(size).agg(F.count("*").alias("n")).collect()}
+    steps = [(int(s), first, n, part) for s, first, n, part in deal(counts, k)]
+    plan = groups.sparkSession.createDataFrame(steps, "__s long, __first long, __n long, __part array<int>")
+    rows = ranked(groups, size, F.sha2(F.concat_ws("-", F.col(group).cast("string"), F.lit(seed)), 256), "__r")
+    place = F.col("__r") - 1 - F.col("__first")
+    rows = rows.join(plan, (F.col(size) == F.col("__s")) & place.between(F.lit(0), F.col("__n") - 1))
+    return rows.select(group, F.get("__part", (place % F.size("__part")).cast("int")).alias("fold"))
 
 
 def split_leaks(df: DataFrame, key: str, split: str = "split") -> DataFrame:

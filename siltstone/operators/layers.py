@@ -52,7 +52,8 @@ def comment_cards(rows: DataFrame, image: str = "image_id") -> DataFrame:
     left edge (the smallest on ties) stay."""
     img = Window.partitionBy(image)
     order = img.orderBy("top", "left", "text")
-    height = F.greatest(F.median(F.col("bottom") - F.col("top")).over(img), F.lit(1.0))
+    # Fixed value: the least height of a row, in pixels.
+    height = F.greatest(F.median(F.col("bottom") - F.col("top")).over(img), F.lit(6.0))
     rows = rows.withColumn("h", height).withColumn("end", is_card_end(F.col("text"))).withColumn("ends", F.sum(F.col("end").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kept = rows.where("not end")
     new = F.lag("ends").over(order).isNull() | (F.lag("ends").over(order) != F.col("ends")) | (F.col("top") - F.lag("top").over(order) > 1.9 * F.col("h")) | (F.abs(F.col("left") - F.lag("left").over(order)) > 0.75 * F.col("h"))
@@ -96,6 +97,69 @@ def image_rollup(df: DataFrame, post: str, coverage: str = "coverage") -> DataFr
     return df.groupBy(post).agg(F.count("*").alias("images"), F.count_if(done).alias("completed"), F.bool_or(done & (F.col("label") == 1)).alias("any_mismatch"), F.bool_and(F.col("status") == "provisional").alias("all_provisional"), F.min(F.when(F.col("status") == "provisional", F.col(coverage))).alias("least_coverage")).withColumn("risk", F.when(F.col("any_mismatch"), "high").when(F.col("completed") > 0, "low").otherwise("unknown"))
 
 
+def image_report(df: DataFrame, post: str, coverage: str = "coverage") -> DataFrame:
+    """The other roll-up, of images that may be unavailable: status, label over all with a verdict, risk by the confirmed ones."""
+    has = F.col("label").isNotNull()
+    provisional, unavailable = F.bool_or(F.col("status") == "provisional"), F.bool_or(F.col("status") == "unavailable")
+    status = F.when(provisional, "provisional").when(~F.bool_or(has), "unavailable").when(unavailable, "partial").otherwise("completed")
+    label = F.when(F.bool_or(has), F.max("label").cast("int"))
+    confirmed = F.coalesce(F.bool_or((F.col("status") == "completed") & (F.col("label") == 1)), F.lit(False))
+    out = df.groupBy(post).agg(F.count("*").alias("images"), status.alias("status"), (F.bool_or(has) | provisional).alias("available"), label.alias("label"), confirmed.alias("confirmed"), F.min(F.when(F.col("status") == "provisional", F.coalesce(F.col(coverage), F.lit(1.0)))).alias("least_coverage"))
+    prediction = F.when(F.col("label") == 1, "image_text_mismatch").when(F.col("label") == 0, "aligned")
+    return out.withColumn("prediction", prediction).withColumn("risk", F.when(F.col("confirmed"), "high").when(F.col("status") != "completed", "unknown").otherwise("low")).drop("confirmed")
+
+
+def combined_images(alignment_status: Column, alignment_label: Column, edit_label: Column) -> Column:
+    """struct<status, label, prediction, risk> of the alignment and the comparison with a reference image, which may be null: a
+    confirmed edit is a verdict even beside a provisional alignment."""
+    edited = F.coalesce(edit_label == 1, F.lit(False))
+    suspicious = (F.coalesce(alignment_label == 1, F.lit(False)) | edited).cast("int")
+    provisional = alignment_status == "provisional"
+    firm = ~provisional | edited
+    risk = F.when(edited, "high").when(provisional, "unknown").when(suspicious == 1, "high").otherwise("low")
+    return F.struct(F.when(provisional, "provisional").otherwise("completed").alias("status"), F.when(firm, suspicious).alias("label"), F.when(firm, F.when(suspicious == 1, "suspicious").otherwise("normal")).alias("prediction"), risk.alias("risk"))
+
+
+def model_coordination(groups: DataFrame, comments: Column, probability: Column, threshold: float, high: float | None = None, medium: float | None = None, available: bool = True, least: int = 5) -> DataFrame:
+    """``groups`` with status, score, threshold, coordinated (0, 1 or null), prediction, risk and comment_count: insufficient_data
+    under ``least`` comments, model_unavailable without a model or score, else completed."""
+    from siltstone.functions.text import model_risk
+
+    n = F.coalesce(comments, F.lit(0))
+    status = F.when(n < least, "insufficient_data").when(F.lit(not available) | probability.isNull(), "model_unavailable").otherwise("completed")
+    done = status == "completed"
+    label = (probability >= threshold).cast("int")
+    return groups.select(
+        "*", status.alias("status"), F.when(done, probability).alias("score"), F.when(done, F.lit(threshold)).alias("threshold"), F.when(done, label).alias("coordinated"),
+        F.when(done, F.when(label == 1, "coordinated").otherwise("normal")).alias("prediction"), F.when(done, model_risk(probability, threshold, high, medium)).otherwise("unknown").alias("risk"), n.cast("long").alias("comment_count"),
+    )
+
+
+def four_layers(posts: DataFrame, key: str, layers: dict[str, DataFrame]) -> DataFrame:
+    """A row per post with a struct column for each layer, null where the layer has no row. Layers stay independent: there is no
+    combined score. Every layer is one row per ``key``."""
+    out = posts.select(key)
+    for name, df in layers.items():
+        out = out.join(df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name)), key, "left")
+    return out
+
+
+def import_comments(existing: DataFrame, extracted: DataFrame, group: str, most: int = 30) -> DataFrame:
+    """(group, id, text, pos) of the comments that are added to a group: cleaned, without those it has (in any case) or repeats,
+    up to ``most`` in all; ids cNN from the number of comments on, passing over those in use. existing: id, text; extracted:
+    pos, text."""
+    from siltstone.functions.text import clean_text, numbered
+
+    have = existing.groupBy(group).agg(F.count("*").alias("have"), F.collect_set("id").alias("used"))
+    fresh = extracted.withColumn("text", clean_text(F.col("text"))).where("text <> ''").withColumn("key", F.lower("text"))
+    fresh = fresh.groupBy(group, "key").agg(F.min(F.struct("pos", "text")).alias("x")).join(existing.select(group, F.lower(strip(F.col("text"))).alias("key")).distinct(), [group, "key"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("x.pos"))
+    fresh = fresh.withColumn("n", place).join(have, group, "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("n") + F.col("have") <= most)
+    # At most ``most`` ids are in use below the cap, so a group's free numbers lie among the next 2 * most.
+    free = F.filter(F.transform(F.sequence(F.col("have").cast("int") + 1, F.col("have").cast("int") + 2 * most), lambda i: numbered("c", i, 2)), lambda c: ~F.array_contains(F.coalesce("used", F.array().cast("array<string>")), c))
+    return fresh.select(group, F.get(free, F.col("n") - 1).alias("id"), "x.text", "x.pos")
+
+
 def evidence(layers: dict[str, list[str]]) -> Column:
     """JSON of the listed fields of each layer's struct column; absent fields are left out."""
     return F.to_json(F.struct(*[F.struct(*[F.col(f"{layer}.{f}").alias(f) for f in fields]).alias(layer) for layer, fields in layers.items()]))
@@ -106,13 +170,25 @@ def missing_inputs(status: dict[str, str], names: dict[str, str]) -> Column:
 
 
 def parse_transcription(raw: Column, comments: int = 100, lines: int = 300, longest: int = 10_000) -> Column:
-    """struct<comments, lines, valid> of a transcription JSON; null arrays or texts over the limits make it invalid."""
-    got = F.from_json(raw, "comments array<string>, lines array<string>")
-    text = lambda c: F.transform(c, lambda x: strip(F.when(F.startswith(F.ltrim(x), F.lit("{")), F.get_json_object(x, "$.text")).otherwise(x)))
-    fine = lambda c, cap: c.isNotNull() & (F.size(c) <= cap) & ~F.exists(c, lambda x: F.length(x) > longest)
-    valid = F.coalesce(fine(got["comments"], comments) & fine(got["lines"], lines), F.lit(False))
+    """struct<comments, lines, valid> of a transcription JSON; missing arrays, entries that are neither strings nor objects with
+    a text, and texts over the limits make it invalid. Entries are told apart by their JSON type."""
+    got = F.try_parse_json(raw)
+    array = lambda name: F.try_variant_get(got, f"$.{name}", "array<variant>")
+    plain = lambda v, path="$": F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", strip(F.try_variant_get(v, path, "string")))
+    text = lambda c: F.transform(c, lambda v: F.coalesce(plain(v), plain(v, "$.text")))
+    fine = lambda c, cap: c.isNotNull() & (F.size(c) <= cap) & ~F.exists(text(c), lambda x: x.isNull() | (F.length(x) > longest))
+    valid = F.coalesce(fine(array("comments"), comments) & fine(array("lines"), lines), F.lit(False))
     keep = lambda c: F.filter(text(c), lambda x: F.length(x) > 0)
-    return F.struct(F.when(valid, keep(got["comments"])).alias("comments"), F.when(valid, keep(got["lines"])).alias("lines"), valid.alias("valid"))
+    return F.struct(F.when(valid, keep(array("comments"))).alias("comments"), F.when(valid, keep(array("lines"))).alias("lines"), valid.alias("valid"))
+
+
+def ocr_parts(df: DataFrame, image: str, boxes: Column, texts: Column, scores: Column, rows: Column) -> DataFrame:
+    """(image, text, confidence, left, top, right, bottom) from either shape of OCR output: parallel arrays of boxes, texts and
+    scores, or an array of rows with the fields box, text and score; blank texts and missing arrays give no part."""
+    parallel = F.when(boxes.isNotNull() & texts.isNotNull() & scores.isNotNull(), F.arrays_zip(boxes.alias("box"), texts.alias("text"), scores.alias("score")))
+    parts = F.transform(F.coalesce(parallel, rows), lambda r: F.struct(box_bounds(r["box"]).alias("box"), strip(r["text"]).alias("text"), r["score"].cast("double").alias("confidence")))
+    one = df.select(F.col(image), F.explode(parts).alias("p")).where(F.length("p.text") > 0)
+    return one.select(image, "p.text", "p.confidence", *[F.col(f"p.box.{n}").cast("double").alias(n) for n in ("left", "top", "right", "bottom")])
 
 
 def case_fields(number: Column) -> dict[str, Column]:
@@ -136,17 +212,15 @@ def variant_groups(df: DataFrame, group: str, variant: str) -> DataFrame:
     return got.where(~((F.col("variants") == F.array(F.lit("H"))) | (F.col("variants") == full)) | (F.size("variants") != F.col("n")))
 
 
-def fit_logistic(df: DataFrame, features: str, label: str, c: float = 1.0, balanced: bool = True, penalize_intercept: bool = False):
-    """MLlib logistic regression with the penalty of C: regParam = 1 / (C * sum of weights), no standardisation."""
+def fit_logistic(df: DataFrame, features: str, label: str, c: float = 1.0, balanced: bool = True, free_intercept: bool = True):
+    """MLlib logistic regression with the penalty of C: regParam = 1 / (C * sum of weights), no standardisation. Without a free
+    intercept the caller adds a constant feature, whose weight is penalised like any other."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     n = sum(counts.values())
     weight = reduce(lambda w, kv: w.when(F.col(label) == kv[0], n / (len(counts) * kv[1])), counts.items(), F.when(F.lit(False), 1.0)) if balanced else F.lit(1.0)
-    if penalize_intercept:
-        df = df.withColumn(features, array_to_vector(F.concat(vector_to_array(features), F.array(F.lit(1.0)))))
-    model = LogisticRegression(featuresCol=features, labelCol=label, weightCol="__w", regParam=1 / (c * n), standardization=False, fitIntercept=not penalize_intercept, maxIter=200, tol=1e-9)
+    model = LogisticRegression(featuresCol=features, labelCol=label, weightCol="__w", regParam=1 / (c * n), standardization=False, fitIntercept=free_intercept, maxIter=200, tol=1e-9)
     return model.fit(df.withColumn("__w", weight))
 
 

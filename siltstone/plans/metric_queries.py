@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import length_bucket
 from siltstone.operators import layers
 from siltstone.operators import metrics as M
+from siltstone.operators.spread import written
 from siltstone.plans.base import SCORED, SPLIT, Registry, scored, split_of, table
 
 query = Registry()
@@ -87,9 +88,10 @@ def fpr_operating_point(spark, d):
 @query("SELECT label, count(*) AS n, min(x) AS least, max(x) AS most, avg(x) AS mean, median(x) AS median, list_sort(list(x))[((count(*) - 1) * 0.75)::DOUBLE::BIGINT + CASE WHEN ((count(*) - 1) * 0.75)::DOUBLE::BIGINT > (count(*) - 1) * 0.75 THEN 0 ELSE 1 END] AS p75_cut, list_sort(list(x))[count(*) // 2 + 1] AS upper_median FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label")
 def score_summary(spark, d):
     x = F.col("x")
-    at = F.sort_array(F.collect_list(x))
     rows = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.get(at, ((F.count("*") - 1) * 0.75).cast("int")).alias("p75_cut"), F.get(at, F.expr("cast(count(*) div 2 as int)")).alias("upper_median"))
+    stats = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.median(x).alias("median"))
+    ranks = {"p75_cut": F.floor((F.col("n") - 1) * 0.75), "upper_median": F.floor(F.col("n") / 2)}
+    return stats.join(M.rank_values(rows, "label", "x", ranks), "label")
 
 
 @query(f"SELECT split, label, n, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY split) AS percent FROM (SELECT {SPLIT} AS split, quality AS label, count(*) AS n FROM documents d JOIN labels USING (doc_id) GROUP BY ALL)")
@@ -123,7 +125,8 @@ def calibrated_model(spark, d):
     """Balanced logistic regression on standardised counts, Platt scaling and temperature; three parameters a row."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = scored(spark, d).withColumn("x1", F.log1p(F.col("n_chars").cast("double"))).withColumn("x2", F.col("score")).cache()
+    rows = scored(spark, d).withColumn("x1", F.log1p(F.col("n_chars").cast("double"))).withColumn("x2", F.col("score"))
+    rows = written(rows, "scored")
     std = layers.standardized(rows, ["x1", "x2"]).withColumn("features", array_to_vector(F.array("x1", "x2")))
     model = layers.fit_logistic(std, "features", "label")
     from siltstone.functions.text import log_odds

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -94,10 +93,19 @@ def redacted(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("text"))
 
 
-@query("SELECT conv_id, turn, 'completed' AS status, octet_length(encode(text)) AS n_bytes, CASE turn % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' ELSE '.img' END AS suffix FROM conversations")
+#: What each URL is, by (conv_id + turn) % 8.
+_URLS = ("completed", "completed", "completed", "bad_base64", "bad_base64", "bad_format", "empty", "bad_format")
+
+
+@query(f"SELECT conv_id, turn, ['{"', '".join(_URLS)}'][(conv_id + turn) % 8 + 1] AS status, CASE WHEN (conv_id + turn) % 8 < 3 THEN octet_length(encode(text)) END AS n_bytes, CASE (conv_id + turn) % 8 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.img' END AS suffix FROM conversations")
 def data_urls(spark, d):
-    media = F.element_at(F.array(*map(F.lit, ("image/png", "image/jpeg", "image/gif"))), (F.col("turn") % 3 + 1).cast("int"))
-    rows = table(spark, d, "conversations").withColumn("url", F.concat(F.lit("data:"), media, F.lit(";base64,"), F.base64(F.encode("text", "utf-8"))))
+    """Valid images of three types, a body with spaces, one without its padding, no base64 mark, no body, and no image."""
+    # Spark breaks long base64 into lines, which a data URL must not have.
+    body = F.regexp_replace(F.base64(F.encode("text", "utf-8")), "\\s", "")
+    urls = [F.concat(F.lit(f"data:image/{t};base64,"), body) for t in ("png", "jpeg", "gif")]
+    urls += [F.concat(F.lit("data:image/png;base64,"), F.left(body, F.lit(4)), F.lit(" "), body), F.concat(F.lit("data:image/png;base64,"), F.left(body, F.lit(7)))]
+    urls += [F.concat(F.lit("data:image/png,"), body), F.lit("data:image/png;base64,"), F.concat(F.lit("data:text/plain;base64,"), body)]
+    rows = table(spark, d, "conversations").withColumn("url", F.get(F.array(*urls), ((F.col("conv_id") + F.col("turn")) % 8).cast("int")))
     return rows.withColumn("x", T.data_url(F.col("url"))).select("conv_id", "turn", "x.status", F.octet_length("x.bytes").cast("long").alias("n_bytes"), "x.suffix")
 
 
@@ -120,10 +128,11 @@ def case_labels(spark, d):
     return rows.withColumns(layers.case_fields(F.col("n"))).groupBy("n", "task_type", "mismatch", "edited", "ai_generated", "eligible").agg(F.count("*").alias("rows"))
 
 
-@query(f"SELECT d.doc_id, {SPLIT} AS split, CASE WHEN doc_id % 4 < 2 THEN 'train' WHEN doc_id % 4 = 2 THEN 'validation' ELSE 'test' END AS route, CASE WHEN doc_id % 4 < 2 THEN 1 WHEN doc_id % 4 = 2 THEN 2 ELSE 3 END AS priority FROM documents d")
+@query(f"SELECT d.doc_id, {SPLIT} AS split, CASE WHEN doc_id % 4 < 2 THEN 'train' WHEN doc_id % 4 = 2 THEN 'validation' ELSE 'test' END AS route, CASE WHEN doc_id % 4 < 2 THEN 1 WHEN doc_id % 4 = 2 THEN 2 ELSE 3 END AS priority, 0 AS unknown FROM documents d")
 def split_routes(spark, d):
     s = split_of(F.col("doc_id"))
-    return table(spark, d, "documents").select("doc_id", s.alias("split"), T.split_route(s).alias("route"), T.split_priority(s).alias("priority"))
+    other = F.get(F.array(*map(F.lit, ("Train_9", "TEST", "training set", "validation"))), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, d, "documents").select("doc_id", s.alias("split"), T.split_route(s).alias("route"), T.split_priority(s).alias("priority"), T.split_priority(other).alias("unknown"))
 
 
 @query("SELECT d.doc_id, l.quality, l.toxic FROM labels l JOIN documents d USING (doc_id) WHERE trim(l.quality::VARCHAR) = '0'")
@@ -137,18 +146,25 @@ def unreviewed(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT a.n AS shared_texts, b.n AS shared_keys FROM (SELECT count(*) AS n FROM (SELECT text FROM documents INTERSECT SELECT text FROM benchmark)) a, (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE lower(text) IN (SELECT lower(text) FROM benchmark)) b")
-def benchmark_overlap(spark, d):
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    texts = docs.select("text").intersect(bench.select("text")).agg(F.count("*").alias("shared_texts"))
-    keys = docs.select("doc_id", F.lower("text").alias("k")).join(bench.select(F.lower("text").alias("k")), "k", "left_semi").agg(F.count_distinct("doc_id").alias("shared_keys"))
+_KEYS = f"replace(regexp_replace(lower(text), '{_S}+', '', 'g'), 'ß', 'ss')"
+
+
+@query(f"WITH a AS (SELECT doc_id, text, {_KEYS} AS k FROM documents WHERE doc_id % 5 = 0), b AS (SELECT doc_id, upper(replace(text, 'ß', 'ss')) || ' ' AS text, {_KEYS} AS k FROM documents WHERE doc_id % 5 <> 0) SELECT (SELECT count(*) FROM (SELECT text FROM a INTERSECT SELECT text FROM b)) AS shared_texts, (SELECT count(*) FROM a WHERE k IN (SELECT k FROM b)) AS shared_keys")
+def key_overlap(spark, d):
+    """Texts that a set shares with another one whose texts are in capitals: none as they are, all copies by their keys."""
+    docs = table(spark, d, "documents")
+    a = docs.where("doc_id % 5 = 0").select("text", T.overlap_key(F.col("text")).alias("k"))
+    b = docs.where("doc_id % 5 <> 0").select(F.concat(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), F.lit(" ")).alias("text"))
+    b = b.withColumn("k", T.overlap_key(F.col("text")))
+    texts = a.select(F.sha2("text", 256)).intersect(b.select(F.sha2("text", 256))).agg(F.count("*").alias("shared_texts"))
+    keys = a.select(F.sha2("k", 256).alias("k")).join(b.select(F.sha2("k", 256).alias("k")).distinct(), "k", "left_semi").agg(F.count("*").alias("shared_keys"))
     return texts.crossJoin(keys)
 
 
-@query("SELECT text, count(DISTINCT s) AS splits, count(*) AS rows FROM (SELECT text, doc_id % 3 AS s FROM documents) GROUP BY text HAVING count(DISTINCT s) = 3")
+@query("SELECT md5(text) AS text_key, count(DISTINCT s) AS splits, count(*) AS rows FROM (SELECT text, doc_id % 3 AS s FROM documents) GROUP BY text HAVING count(DISTINCT s) = 3")
 def texts_in_all_splits(spark, d):
-    rows = table(spark, d, "documents").select("text", (F.col("doc_id") % 3).alias("s"))
-    return rows.groupBy("text").agg(F.count_distinct("s").alias("splits"), F.count("*").alias("rows")).where("splits = 3")
+    rows = table(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("text_key"), (F.col("doc_id") % 3).alias("s"))
+    return rows.groupBy("text_key").agg(F.count_distinct("s").alias("splits"), F.count("*").alias("rows")).where("splits = 3")
 
 
 @query("SELECT 'documents' AS source_table, lang AS kind, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'conversations', role, count(*) FROM conversations GROUP BY role UNION ALL SELECT 'benchmark', NULL, count(*) FROM benchmark")
@@ -192,30 +208,37 @@ def four_layer_report(spark, d):
     return report.select("doc_id", layers.evidence({"layer1": ["status", "label"], "layer2": ["risk"]}).alias("evidence"), F.array_join(layers.missing_inputs({"l1": "layer1.status"}, {"l1": "longer text"}), ",").alias("missing"))
 
 
-_CARD = "SELECT conv_id AS image_id, turn, CASE WHEN turn % 3 = 2 THEN (turn + 1)::VARCHAR || ' hours ago' ELSE left(text, 40) END AS text, (0.5 + turn / 100.0)::DOUBLE AS confidence, (70 + CASE WHEN turn = 4 THEN 40 ELSE 0 END)::DOUBLE AS l, (turn * 30)::DOUBLE AS t FROM conversations"
+#: Lines that end a card, one of each kind; a row of turn 2, 5 and so on is one of them.
+_ENDS = ("2 hours ago", "2024-03-05 回复", "3天前", "昨天 10:20", "Like 12 reply", "赞 3", "View 4 replies", "展开 2 条回复")
+_ENDING = "['" + "', '".join(_ENDS) + "'][(conv_id + turn) % 8 + 1]"
+_CARD = f"SELECT conv_id AS image_id, turn, turn % 3 = 2 AS e, CASE WHEN turn % 3 = 2 THEN {_ENDING} ELSE text END AS text, (0.5 + turn / 100.0)::DOUBLE AS confidence, (70 + CASE WHEN turn = 4 THEN 40 ELSE 0 END)::DOUBLE AS l, (turn * CASE WHEN conv_id % 5 = 0 THEN 9 ELSE 30 END)::DOUBLE AS t, CASE WHEN conv_id % 5 = 0 THEN 6 ELSE 22 END AS h FROM conversations"
 
 
-@query(f"""WITH r AS (SELECT *, regexp_matches(lower(text), '^\\d+ hours ago') AS e FROM ({_CARD})),
+@query(f"""WITH r AS ({_CARD}),
 s AS (SELECT *, sum(e::INT) OVER (PARTITION BY image_id ORDER BY t) AS ends FROM r),
-k AS (SELECT *, lag(ends) OVER w IS NULL OR lag(ends) OVER w <> ends OR t - lag(t) OVER w > 1.9 * 22 OR abs(l - lag(l) OVER w) > 0.75 * 22 AS new FROM s WHERE NOT e WINDOW w AS (PARTITION BY image_id ORDER BY t)),
+k AS (SELECT *, lag(ends) OVER w IS NULL OR lag(ends) OVER w <> ends OR t - lag(t) OVER w > 1.9 * h OR abs(l - lag(l) OVER w) > 0.75 * h AS new FROM s WHERE NOT e WINDOW w AS (PARTITION BY image_id ORDER BY t)),
 c AS (SELECT *, sum(new::INT) OVER (PARTITION BY image_id ORDER BY t) AS card FROM k),
 b AS (SELECT *, row_number() OVER (PARTITION BY image_id, card ORDER BY t) AS n FROM c),
-g AS (SELECT image_id, card, trim(string_agg(text, '' ORDER BY n)) AS text, round(avg(confidence), 4) AS confidence, min(l) AS l, min(t) AS top FROM b WHERE n > 1 GROUP BY ALL),
-m AS (SELECT *, (SELECT count(*) FROM g x WHERE x.image_id = g.image_id AND abs(x.l - g.l) <= 16.5) AS near FROM g),
+g AS (SELECT image_id, card, trim(string_agg(text, '' ORDER BY n)) AS text, round(avg(confidence), 4) AS confidence, min(l) AS l, min(t) AS top, any_value(h) AS h FROM b WHERE n > 1 GROUP BY image_id, card),
+m AS (SELECT *, (SELECT count(*) FROM g x WHERE x.image_id = g.image_id AND abs(x.l - g.l) <= 0.75 * g.h) AS near FROM g),
 z AS (SELECT *, first_value(l) OVER (PARTITION BY image_id ORDER BY near DESC, l) AS root FROM m)
-SELECT image_id, card, text, confidence, l AS "left", top FROM z WHERE abs(l - root) <= 16.5""")
+SELECT image_id, card, text, confidence, l AS "left", top FROM z WHERE abs(l - root) <= 0.75 * h""")
 def comment_cards(spark, d):
-    c = table(spark, d, "conversations")
-    text = F.when(F.col("turn") % 3 == 2, F.concat((F.col("turn") + 1).cast("string"), F.lit(" hours ago"))).otherwise(F.left("text", F.lit(40)))
-    left, top = (F.lit(70) + F.when(F.col("turn") == 4, 40).otherwise(0)).cast("double"), (F.col("turn") * 30).cast("double")
-    rows = c.select(F.col("conv_id").alias("image_id"), text.alias("text"), (F.lit(0.5) + F.col("turn") / 100.0).alias("confidence"), left.alias("left"), top.alias("top"), (left + 200).alias("right"), (top + 22).alias("bottom"))
+    """Cards from rows of two heights; rows of 3 pixels count as 6 high, the least height."""
+    c, flat = table(spark, d, "conversations"), F.col("conv_id") % 5 == 0
+    end = F.get(F.array(*map(F.lit, _ENDS)), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
+    text = F.when(F.col("turn") % 3 == 2, end).otherwise(F.col("text"))
+    left, top = (F.lit(70) + F.when(F.col("turn") == 4, 40).otherwise(0)).cast("double"), (F.col("turn") * F.when(flat, 9).otherwise(30)).cast("double")
+    rows = c.select(F.col("conv_id").alias("image_id"), text.alias("text"), (F.lit(0.5) + F.col("turn") / 100.0).alias("confidence"), left.alias("left"), top.alias("top"), (left + 200).alias("right"), (top + F.when(flat, 3).otherwise(22)).alias("bottom"))
     return layers.comment_cards(rows).select("image_id", "card", "text", "confidence", "left", "top")
 
 
 @query("SELECT severity, message, count(*) AS n FROM (SELECT 'error' AS severity, 'label is not 0 or 1' AS message FROM labels WHERE quality NOT IN (0, 1) UNION ALL SELECT 'warning', 'under 100 characters' FROM documents WHERE length(text) < 100 UNION ALL SELECT 'warning', 'copied text' FROM (SELECT count(*) OVER (PARTITION BY text) AS c FROM documents) WHERE c > 1) GROUP BY ALL")
 def validation(spark, d):
-    docs = table(spark, d, "documents").withColumn("c", F.count("*").over(Window.partitionBy("text")))
-    a = layers.violations(docs, [("warning", "under 100 characters", F.length("text") < 100), ("warning", "copied text", F.col("c") > 1)], "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("k"))
+    copied = docs.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    rows = docs.join(copied, "k", "left")
+    a = layers.violations(rows, [("warning", "under 100 characters", F.col("n") < 100), ("warning", "copied text", F.col("c").isNotNull())], "doc_id")
     b = layers.violations(table(spark, d, "labels"), [("error", "label is not 0 or 1", ~F.col("quality").isin(0, 1))], "doc_id")
     return a.union(b).groupBy("severity", "message").agg(F.count("*").alias("n"))
 
