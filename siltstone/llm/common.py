@@ -18,10 +18,12 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only for a local master (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = _made.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
     return named.rstrip("/")
 
