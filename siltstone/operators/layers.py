@@ -220,8 +220,16 @@ def fit_logistic(df: DataFrame, features: str, label: str, c: float = 1.0, balan
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     n = sum(counts.values())
     weight = reduce(lambda w, kv: w.when(F.col(label) == kv[0], n / (len(counts) * kv[1])), counts.items(), F.when(F.lit(False), 1.0)) if balanced else F.lit(1.0)
+    rows = df.select(features, F.col(label).cast("int").alias(label), weight.cast("double").alias("__w"))
+    if not free_intercept:
+        # MLlib gives constant features the weight 0. A row without features has a constant loss, so it moves nothing else.
+        from pyspark.ml.linalg import Vectors
+
+        size = df.select(features).head()[0].size
+        rows = rows.union(df.sparkSession.createDataFrame([(Vectors.sparse(size, [], []), 0, 1.0)], rows.schema))
+        n += 1
     model = LogisticRegression(featuresCol=features, labelCol=label, weightCol="__w", regParam=1 / (c * n), standardization=False, fitIntercept=free_intercept, maxIter=200, tol=1e-9)
-    return model.fit(df.withColumn("__w", weight))
+    return model.fit(rows)
 
 
 def fit_platt(df: DataFrame, margin: str, label: str, c: float = 1.0) -> tuple[float, float]:
