@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, free, table
 
-SAMPLE, SHARE, LEAST, ALIKE, EFFORT, SALTS = 12, 0.6, 4, 0.5, 64, 32
+SAMPLE, SHARE, LEAST, ALIKE, EFFORT = 12, 0.6, 4, 0.5, 64
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|annotation|annotation-xml)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
@@ -502,12 +502,13 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, page: str = "html", url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """``pages`` with ``main_text`` (a free name)."""
     hosts = pages.select(host_of(F.col(url)).alias("__host"), F.col(page).alias("__html")).where("__html is not null")
-    # Hashes are made distinct before they are picked, so copies of a page take one place. At most ``sample`` of a host leave
-    # each of its SALTS parts, so a hot host is no large group; the pages of the picked hashes are then read again.
-    few = lambda rows, *by: rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("__hash"))).where(F.col("n") <= sample)
-    hashes = hosts.select("__host", F.xxhash64("__html").alias("__hash")).distinct()
-    salted = few(hashes.withColumn("salt", F.pmod("__hash", F.lit(SALTS))), "__host", "salt")
-    least = cut(few(salted, "__host").select("__host", "__hash"), "picked-pages")
+    # Hashes are made distinct first, so copies of a page take one place. Their count a host, added up in each task, gives the share
+    # of its hashes that leaves about three times ``sample`` of them, so a hot host is no large group anywhere.
+    hashes = cut(hosts.select("__host", F.xxhash64("__html").alias("__hash")).distinct(), "page-hashes")
+    counts = cut(hashes.groupBy("__host").agg(F.count("*").alias("__n")), "host-pages")
+    share = F.pmod(F.xxhash64("__hash", F.lit(7)), F.lit(1 << 24)) * F.col("__n") < F.lit(3 * sample).cast("long") * (1 << 24)
+    few = hashes.join(counts, "__host").where(share).withColumn("n", F.row_number().over(Window.partitionBy("__host").orderBy("__hash")))
+    least = cut(few.where(F.col("n") <= sample).select("__host", "__hash"), "picked-pages")
     held = hosts.withColumn("__hash", F.xxhash64("__html")).join(least, ["__host", "__hash"])
     picked = held.groupBy("__host", "__hash").agg(F.min("__html").alias("__html"))
 
