@@ -125,23 +125,23 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     """(key, piece, start, length, ids_crc32[, ids]) of every document, with ``row``, a number of the document. Only the text
     goes through Python, so keys of any type stay as they are."""
 
-    @F.pandas_udf("array<struct<length:long,ids_crc32:long" + (",ids:array<int>" if ids else "") + ">>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("length array<long>, ids_crc32 array<long>" + (", ids array<array<int>>" if ids else ""))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder.of(path)
-
-        def described(piece: np.ndarray) -> dict:
-            return {"length": len(piece), "ids_crc32": zlib.crc32(piece.tobytes())} | ({"ids": piece.astype(np.int32)} if ids else {})
-
         for batch in batches:
-            out = []
+            out: dict[str, list] = {"length": [], "ids_crc32": []} | ({"ids": []} if ids else {})
             for at in range(0, len(batch), step):
                 for found in encoder.encode([t or "" for t in batch.iloc[at : at + step]]):
                     found = np.append(found, np.uint32(end)).astype("<u4")
-                    out.append([described(found[i : i + tokens]) for i in range(0, len(found), tokens)])
-            yield pd.Series(out, dtype=object)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), run(F.col(text)).alias("__pieces"))
-    rows = rows.select("row", "__key", F.posexplode("__pieces").alias("piece", "p"))
+                    pieces = [found[i : i + tokens] for i in range(0, len(found), tokens)]
+                    out["length"].append([len(p) for p in pieces])
+                    out["ids_crc32"].append([zlib.crc32(p) for p in pieces])
+                    if ids:
+                        out["ids"].append([p.astype(np.int32) for p in pieces])
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in out.items()})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), run(F.col(text)).alias("__p"))
+    rows = rows.select("row", "__key", F.posexplode(F.arrays_zip(*[f"__p.{n}" for n in ("length", "ids_crc32", *(["ids"] if ids else []))])).alias("piece", "p"))
     start = (F.col("piece") * F.lit(tokens).cast("long")).alias("start")
     return rows.select("row", F.col("__key").alias(key), "piece", start, "p.length", "p.ids_crc32", *(["p.ids"] if ids else []))
 
