@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import free, table
 
-SPACE, STOP, CHARS, LONG, KNOWN = "▁", "\x00", 150_000, 48, 300_000
+SPACE, STOP, CHARS, LONG, KNOWN = "▁", "\x00", 150_000, 48, 700_000
 _NONE = np.int32(2**31 - 1)
 _coders: dict[str, SuffixCoder] = {}
 
@@ -70,6 +70,7 @@ class SuffixCoder:
         self.spans = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         #: The ids of each chunk met, as little-endian 32-bit integers, so those of a text are joined by one copy.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> SuffixCoder:
@@ -184,12 +185,15 @@ class SuffixCoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.chunks(t) for t in texts]
-        new = {c for s in split for c in s if c not in self.known}
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = {c for s in split for c in s}
-        if new:
-            self.learn(sorted(new))
+        here = set().union(*split)
+        missing = here - self.known.keys()
+        # Two generations of half the limit each: chunks still in use are carried over when the younger one is full.
+        if len(self.known) + len(missing) > self.limit // 2:
+            self.before, self.known, missing = self.known, {}, here
+        self.known.update((c, self.before[c]) for c in missing & self.before.keys())
+        missing -= self.known.keys()
+        if missing:
+            self.learn(sorted(missing))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, s)), "<i4") for s in split]
 
     def _piece(self, i: int) -> bytes:
