@@ -1,10 +1,11 @@
 """Operator 3, quality classifier: ordinal cumulative-link regression on graded ratings.
 
 A document with labels has a grade: 0 low quality, 1 fluent but toxic, 2 good. Its text becomes a set of hashed features:
-lower-case words without the punctuation around them, the kinds of symbols on words, and buckets of length, repeated words
-and repeated lines. All thresholds share one weight vector w, P(grade > j) = sigmoid(w.x - b_j) with b_0 < b_1 kept ordered
-by fitting b_0 and the logarithms of the gaps. It is fitted in numpy (Adam, L2) on at most SAMPLE labelled rows a grade,
-picked by hash, on features that at least RARE of these rows have; scoring reads every whole text. ``expected_grade`` is sum P(grade > j), ``tail`` is P(grade >= top), and a
+lower-case words without the punctuation around them, their stems (beginnings of STEMS letters, which also tell words never
+seen), the kinds of symbols on words, and buckets of length, repeated words and repeated lines. All thresholds share one weight
+vector w, P(grade > j) = sigmoid(w.x - b_j) with b_0 < b_1 kept ordered by fitting b_0 and the logarithms of the gaps. It is
+fitted in numpy (Adam, L1: few words tell a grade and most tell nothing) on at most SAMPLE labelled rows a grade, picked by
+hash, on features that at least RARE of these rows have; scoring reads every whole text. ``expected_grade`` is sum P(grade > j), ``tail`` is P(grade >= top), and a
 document is ``kept`` if the tail is at least ``least``.
 
 Defined results: null, empty and blank texts have no words, only the bucket features; rows with a null or missing label are
@@ -17,7 +18,6 @@ rows each get a row; other columns pass through as they are, and outputs whose n
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,41 +29,47 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, free, table
 
-SIZE, SAMPLE, STEPS, LEAST, RARE = 1 << 18, 4000, 300, 0.5, 8
+SIZE, SAMPLE, STEPS, LEAST, RARE = 1 << 18, 4000, 300, 0.5, 4
+#: Lengths of the stems, and the factor of the L1 penalty.
+STEMS, L1 = (5, 7), 0.15
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-_places: dict[str, int] = {}
+_SYMBOLS = frozenset("#*$%&|<>")
+_places: dict[str, tuple[int, ...]] = {}
 
 
 def _place(feature: str) -> int:
-    at = _places.get(feature)
+    return xxhash.xxh32_intdigest(feature.encode()) % SIZE
+
+
+def _of(word: str) -> tuple[int, ...]:
+    """Features of a lower-case word: itself without punctuation around it, its stems, and the kinds of symbols on it."""
+    at = _places.get(word)
     if at is None:
-        if len(_places) > 500_000:
+        bare = word if word.isalnum() else _EDGE.sub("", word)
+        found = [bare] if bare else []
+        found += ["\x01" + bare[:n] for n in STEMS if len(bare) > n]
+        if bare != word:
+            found += ["\x00symbol" + c for c in _SYMBOLS.intersection(word)]
+        if len(_places) > 250_000:
             _places.clear()
-        at = _places[feature] = xxhash.xxh32_intdigest(feature.encode()) % SIZE
+        at = _places[word] = tuple(_place(f) for f in found)
     return at
 
 
-def _bucket(name: str, share: float) -> str:
-    return f"\x00{name}{next((i for i, x in enumerate((0.0, 0.02, 0.1, 0.2, 0.4, 0.7)) if share <= x), 6)}"
+def _bucket(name: str, share: float) -> int:
+    return _place(f"\x00{name}{next((i for i, x in enumerate((0.0, 0.02, 0.1, 0.2, 0.4, 0.7)) if share <= x), 6)}")
 
 
 def features(text: str | None) -> list[int]:
     text = text or ""
     words = text.lower().split()
     kinds = set(words)
-    found, symbols = set(), Counter()
-    for w in kinds:
-        bare = w if w.isalnum() else _EDGE.sub("", w)
-        if bare:
-            found.add(bare)
-        if bare != w:
-            symbols.update(set(w) & set("#*$%&|<>"))
+    found = set().union(*map(_of, kinds))
     n = max(len(words), 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    found.update("\x00symbol" + s for s in symbols)
-    found.update((_bucket("symbols", sum(text.count(c) for c in "#*$%&|<>") / n), _bucket("again", sum(a == b for a, b in zip(words, words[1:], strict=False)) / n)))
-    found.update((_bucket("lines", 1 - len(set(lines)) / max(len(lines), 1)), f"\x00length{len(words).bit_length()}", _bucket("kinds", 1 - len(kinds) / n)))
-    return sorted({_place(f) for f in found})
+    found.update((_bucket("symbols", sum(text.count(c) for c in _SYMBOLS) / n), _bucket("again", sum(a == b for a, b in zip(words, words[1:], strict=False)) / n)))
+    found.update((_bucket("lines", 1 - len(set(lines)) / max(len(lines), 1)), _place(f"\x00length{len(words).bit_length()}"), _bucket("kinds", 1 - len(kinds) / n)))
+    return sorted(found)
 
 
 @dataclass
@@ -101,22 +107,29 @@ def loss_and_gradient(w: np.ndarray, t: np.ndarray, at: np.ndarray, of: np.ndarr
     return float(-(weight * np.log(p)).sum() + l2 / 2 * (w @ w)), gw, gt
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l2: float = 1e-3, rare: int = RARE) -> Ordinal:
-    """Full-batch Adam on the mean negative log likelihood, each grade weighted alike."""
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l1: float = L1, l2: float = 0.0, rare: int = RARE) -> Ordinal:
+    """Full-batch Adam on the mean negative log likelihood, each grade weighted alike, with a proximal step for
+    l1 / sqrt(rows) * |w|_1 in Adam's own scale; ``l2`` adds l2 / 2 |w|^2."""
     size = np.array([len(r) for r in rows])
     at, of = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), size)
     often = np.bincount(at, minlength=SIZE)[at] >= min(rare, len(rows) // 20 + 1)
-    at, of = at[often], of[often]
+    used, at = np.unique(at[often], return_inverse=True)
+    of, penalty = of[often], l1 / np.sqrt(len(rows))
     weight = 1 / np.bincount(grades, minlength=top + 1)[grades] / len(np.unique(grades))
-    w, t = np.zeros(SIZE), np.concatenate([[-1.0], np.zeros(top - 1)])
+    w, t = np.zeros(len(used)), np.concatenate([[-1.0], np.zeros(top - 1)])
     m1, m2 = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
     for step in range(1, steps + 1):
         _, gw, gt = loss_and_gradient(w, t, at, of, grades, weight, l2)
         for k, (x, g) in enumerate(((w, gw), (t, gt))):
             m1[k] += 0.1 * (g - m1[k])
             m2[k] += 0.001 * (g * g - m2[k])
-            x -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-9)
-    return Ordinal(w, thresholds(t))
+            move = rate / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-9)
+            x -= move * (m1[k] / (1 - 0.9**step))
+            if k == 0:
+                x[:] = np.sign(x) * np.maximum(np.abs(x) - move * penalty, 0)
+    full = np.zeros(SIZE)
+    full[used] = w
+    return Ordinal(full, thresholds(t))
 
 
 def grades_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:

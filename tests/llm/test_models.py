@@ -92,3 +92,28 @@ def test_own_columns_stay(spark):
     for out, new in ((quality_rules.quality_rules(docs, labels), "kept__"), (language_id.identify(docs, None), "lang_pred_"), (quality_classifier.classify(docs, None), "tail_")):
         got = out.collect()
         assert len(got) == 3 and all(r[n] == "mine" for r in got for n in names) and new in out.columns
+
+
+def test_stems_tell_words_never_seen():
+    """A stem marks grade 1; held-out rows carry it only in words that no fitted row has, among random words."""
+    rng = np.random.default_rng(5)
+    noise = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+
+    def text(grade, end):
+        words = list(rng.choice(noise, 60))
+        return " ".join(words + ["zzyxqu" + end] * int(grade == 1) + ["word##"] * (20 * int(grade == 0)))
+
+    grades = np.array([i % 3 for i in range(600)])
+    model = quality_classifier.fit_ordinal([quality_classifier.features(text(g, "abc"[i % 2])) for i, g in enumerate(grades)], grades, 2)
+    held = model.tails(model.score([quality_classifier.features(text(g, "stu")) for g in grades]))
+    kept = held[:, 1] >= 0.5
+    assert not kept[grades == 0].any() and not kept[grades == 1].any() and kept[grades == 2].mean() > 0.98
+    assert 0 < np.count_nonzero(model.w) < 60
+    assert (held[grades == 0, 0] < 0.5).all() and (held[grades == 1, 0] > 0.5).all()
+
+
+def test_features_of_long_and_empty_texts():
+    f = quality_classifier.features
+    assert f(None) == f("") == f(" \n ") and len(f("")) >= 4
+    assert set(f("Idiot!")) > set(quality_classifier._of("idiot"))
+    assert len(f("idiotic word " * 200_000)) < 20
