@@ -107,14 +107,19 @@ def loss_and_gradient(w: np.ndarray, t: np.ndarray, at: np.ndarray, of: np.ndarr
     return float(-(weight * np.log(p)).sum() + l2 / 2 * (w @ w)), gw, gt
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l1: float = L1, l2: float = 0.0, rare: int = RARE) -> Ordinal:
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, top: int, **settings) -> Ordinal:
+    """``fit_flat`` on the feature lists of rows."""
+    return fit_flat(np.concatenate([np.asarray(r, np.int32) for r in rows]), np.array([len(r) for r in rows]), grades, top, **settings)
+
+
+def fit_flat(at: np.ndarray, size: np.ndarray, grades: np.ndarray, top: int, steps: int = STEPS, rate: float = 0.05, l1: float = L1, l2: float = 0.0, rare: int = RARE) -> Ordinal:
     """Full-batch Adam on the mean negative log likelihood, each grade weighted alike, with a proximal step for
-    l1 / sqrt(rows) * |w|_1 in Adam's own scale; ``l2`` adds l2 / 2 |w|^2."""
-    size = np.array([len(r) for r in rows])
-    at, of = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), size)
-    often = np.bincount(at, minlength=SIZE)[at] >= min(rare, len(rows) // 20 + 1)
-    used, at = np.unique(at[often], return_inverse=True)
-    of, penalty = of[often], l1 / np.sqrt(len(rows))
+    l1 / sqrt(rows) * |w|_1 in Adam's own scale; ``l2`` adds l2 / 2 |w|^2. ``at`` holds the features of row after row, size[i]
+    of them in row i; the driver's memory is about 30 bytes for each."""
+    often = np.bincount(at, minlength=SIZE) >= min(rare, len(size) // 20 + 1)
+    used, index = np.flatnonzero(often), np.cumsum(often) - 1
+    of = np.repeat(np.arange(len(size)), size)[often[at]]
+    at, penalty = index[at[often[at]]], l1 / np.sqrt(len(size))
     weight = 1 / np.bincount(grades, minlength=top + 1)[grades] / len(np.unique(grades))
     w, t = np.zeros(len(used)), np.concatenate([[-1.0], np.zeros(top - 1)])
     m1, m2 = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
@@ -149,10 +154,11 @@ def fit(docs: DataFrame, graded: DataFrame, text: str = "text", key: str = "doc_
     read = F.pandas_udf(lambda t: pd.Series([features(x) for x in t]), "array<int>")
     # Rows that share a key are one example, the least list of features, joined in each task before it leaves it.
     read_rows = docs.select(key, text).join(small, key).select(key, "grade", read(F.col(text)).alias("x"))
-    rows = read_rows.groupBy(key, "grade").agg(F.min("x").alias("x")).toPandas().sort_values(key)
-    if rows["grade"].nunique() < 2:
+    rows = read_rows.groupBy(key, "grade").agg(F.min("x").alias("x")).toArrow().sort_by(key)
+    grades, x = rows["grade"].to_numpy().astype(np.int64), rows["x"].combine_chunks()
+    if len(np.unique(grades)) < 2:
         return None
-    return fit_ordinal([list(x) for x in rows["x"]], rows["grade"].to_numpy(np.int64), top)
+    return fit_flat(x.flatten().to_numpy(), x.value_lengths().to_numpy(), grades, top)
 
 
 def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = LEAST) -> DataFrame:
