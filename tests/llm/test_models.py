@@ -117,3 +117,12 @@ def test_features_of_long_and_empty_texts():
     assert f(None) == f("") == f(" \n ") and len(f("")) >= 4
     assert set(f("Idiot!")) > set(quality_classifier._of("idiot"))
     assert len(f("idiotic word " * 200_000)) < 20
+
+
+def test_labels_without_documents(spark):
+    """Grades whose documents are missing, or of string keys: nothing to learn from, or learned as any other."""
+    docs = spark.createDataFrame([(str(i), "fine words" if i % 2 else "bad## words##") for i in range(80)], "doc_id string, text string")
+    graded = lambda names: spark.createDataFrame([(n, 2 * (i % 2)) for i, n in enumerate(names)], "doc_id string, grade int")
+    assert quality_classifier.fit(docs, graded([f"x{i}" for i in range(80)])) is None
+    model = quality_classifier.fit(docs, graded([str(i) for i in range(80)]))
+    assert {(r["doc_id"], r["kept"]) for r in quality_classifier.classify(docs, model).collect()} == {(str(i), bool(i % 2)) for i in range(80)}
