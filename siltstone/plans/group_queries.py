@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import canonical, split_priority
 from siltstone.operators import groups as G
+from siltstone.operators.grams import similar_texts
 from siltstone.plans.base import SPLIT, Registry, split_of, table
 
 query = Registry()
@@ -112,7 +113,7 @@ def char_tfidf(spark, d):
 
 @query(f"WITH {_TFIDF} SELECT a.conv_id, a.turn AS a, b.turn AS b, sum(a.weight * b.weight) AS sim FROM z a JOIN z b ON a.conv_id = b.conv_id AND a.term = b.term AND a.turn < b.turn GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.2")
 def similar_pairs(spark, d):
-    return G.similar_pairs(G.char_tfidf(table(spark, d, "conversations"), ["conv_id", "turn"], "text", within=["conv_id"]), "conv_id", "turn", 0.2)
+    return similar_texts(table(spark, d, "conversations"), "conv_id", "turn", "text", 0.2)
 
 
 _RECOORD = f"""WITH RECURSIVE conversations_ AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS text FROM conversations UNION ALL SELECT conv_id, turn + 100, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') || 'x' FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn + 200, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') FROM conversations WHERE turn % 3 = 0),

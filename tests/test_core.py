@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import groups as G
-from siltstone.operators import layers, metrics
+from siltstone.operators import grams, layers, metrics
 from siltstone.plans import registry
 from siltstone.sources import io
 
@@ -160,3 +160,19 @@ def test_queries_match_sql(spark, name):
     got = sorted((tuple(map(_plain, r)) for r in df.select(*cols).collect()), key=repr)
     want = sorted((tuple(map(_plain, r)) for r in con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({registry.SQL[name]})").fetchall()), key=repr)
     assert got == want
+
+
+def test_similar_texts_equal_the_join_and_move_no_terms(spark):
+    texts = ["the cat sat  on the mat", "The cat sat on the mat!", None, "", "a dog ran", "xx", "你好 \U0001f600 cat"]
+    rows = [(g, p, texts[(p * g) % 7]) for g in range(1, 6) for p in range(9)] + [(2, 3, "twice the place"), (3, None, "the cat sat"), (None, 1, "lost"), (9, 0, "alone")]
+    df = spark.createDataFrame(rows, "g long, p int, t string")
+    got = lambda x: sorted((r["g"], r["a"], r["b"], round(r["sim"], 9)) for r in x.collect())
+    want = got(G.similar_pairs(G.char_tfidf(df, ["g", "p"], "t", within=["g"]), "g", "p", 0.1))
+    here = grams.similar_texts(df, "g", "p", "t", 0.1)
+    assert want and got(here) == want == got(grams.similar_texts(df, "g", "p", "t", 0.1, most=100))
+    plan = registry.QUERIES["similar_pairs"](spark, DATA)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and "Generate" not in plan
+    long = [f"{'ab' * 30} {i} {'cd' * (i % 5)}" for i in range(40)]
+    a, b, sims = grams.group_similarities(long, np.arange(40), 40, 2, 4, 0.3, block=7)
+    whole = grams.group_similarities(long, np.arange(40), 40, 2, 4, 0.3)
+    assert dict(zip(zip(a, b), sims.round(9))) == dict(zip(zip(*whole[:2]), whole[2].round(9))) and len(a)
