@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,13 @@ def group_similarities(texts: list[str], docs: np.ndarray, n: int, low: int, hig
     df = np.bincount(term, minlength=first)[term]
     w = (1 + np.log(tf)) * (np.log((1 + n) / (1 + df)) + 1)
     w /= np.sqrt(np.bincount(doc, w * w, minlength=m))[doc]
-    term, doc, w = dense(term[df > 1])[0], doc[df > 1], w[df > 1]
-    columns, found = int(term.max()) + 1 if len(term) else 0, []
+    return cosines(term[df > 1], doc[df > 1], w[df > 1], m, least, block)
+
+
+def cosines(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, product) with a < b and product >= least of ``m`` rows given by their entries, as dense products of blocks."""
+    term, columns = dense(term)
+    found = []
     by = np.argsort(doc, kind="stable")
     starts = np.searchsorted(doc[by], np.arange(0, m + block, block))
     width = 4_000_000 // block
@@ -136,3 +142,157 @@ def similar_texts(df: DataFrame, group: str, pos: str, text: str, least: float,
         return out
     vectors = G.char_tfidf(rows.join(large, group, "left_semi"), [group, pos], text, low, high, within=[group])
     return out.union(G.similar_pairs(vectors, group, pos, least))
+
+
+@dataclass
+class Terms:
+    """The n-grams that count, the most frequent ones by count, then by term. A code is a term's letters, as places from 1 in
+    ``letters``, the digits of a number of ``high`` places: codes stand in the order of their terms. Codes rise."""
+
+    letters: np.ndarray
+    low: int
+    high: int
+    codes: np.ndarray
+    df: np.ndarray
+    cf: np.ndarray
+    n: int
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log((1 + self.n) / (1 + self.df)) + 1
+
+    def names(self) -> list[str]:
+        out, rest, base = [""] * len(self.codes), self.codes.copy(), len(self.letters) + 1
+        digits = []
+        for _ in range(self.high):
+            digits.append(rest % base)
+            rest //= base
+        signs = ["", *map(chr, self.letters.tolist())]
+        for d in reversed(digits):
+            out = [x + signs[k] for x, k in zip(out, d.tolist(), strict=True)]
+        return out
+
+    def entries(self, texts: list[str], sublinear: bool = True, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, text, tf-idf before its norm) of the known terms, by text."""
+        term, doc, x = [], [], []
+        idf = self.idf if idf is None else idf
+        for codes, owner, tf in counted(texts, self.letters, self.low, self.high):
+            head = np.flatnonzero(np.diff(codes, prepend=-1))
+            at = np.minimum(np.searchsorted(self.codes, codes[head]), len(self.codes) - 1)
+            at = np.repeat(np.where(self.codes[at] == codes[head], at, -1), np.diff(np.append(head, len(codes)))) if len(self.codes) else np.full(len(codes), -1)
+            keep = at >= 0
+            term.append(at[keep])
+            doc.append(owner[keep])
+            x.append((1 + np.log(tf[keep]) if sublinear else tf[keep]) * idf[at[keep]])
+        term, doc, x = np.concatenate(term), np.concatenate(doc), np.concatenate(x)
+        by = np.lexsort((term, doc))
+        return term[by], doc[by], x[by]
+
+
+def counted(texts: list[str], letters: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code, text, count) for each length, by code, then text. A letter that is not in ``letters`` ends all terms it is in."""
+    at, of, room = points(texts)
+    base, m = len(letters) + 1, max(1, len(texts))
+    place = np.searchsorted(letters, at)
+    ranks = np.where((place < len(letters)) & (letters[np.minimum(place, max(0, len(letters) - 1))] == at), place + 1, 0) if len(letters) else np.zeros(len(at), np.int64)
+    where, codes = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for n in range(1, high + 1):
+        keep = room[where] >= n
+        where, codes = where[keep], codes[keep]
+        last = ranks[where + n - 1]
+        where, codes = where[last > 0], (codes * base + last)[last > 0]
+        if n >= low:
+            aligned = codes * base ** (high - n)
+            if base**high * m < 1 << 62:
+                both, names = np.sort(aligned * m + of[where]), None
+            else:
+                names, ids = np.unique(aligned, return_inverse=True)
+                both = np.sort(ids * m + of[where])
+            head = np.flatnonzero(np.diff(both, prepend=-1))
+            first = both[head]
+            yield first // m if names is None else names[first // m], first % m, np.diff(np.append(head, len(both)))
+
+
+#: Characters that are counted at once.
+CHARS = 1 << 20
+
+
+def cut(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first place, texts) of about ``CHARS`` characters each."""
+    start, chars = 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars >= CHARS or i + 1 == len(texts):
+            yield start, texts[start : i + 1]
+            start, chars = i + 1, 0
+
+
+def known_terms(names: list[str], low: int, high: int) -> tuple[Terms, np.ndarray] | None:
+    """Terms of these names, and the place of each of them among the names. None where their letters are too many."""
+    letters = np.array(sorted({ord(x) for n in names for x in n}), np.int64)
+    base = len(letters) + 1
+    if base**high >= 1 << 62:
+        return None
+    place = {chr(x): i + 1 for i, x in enumerate(letters.tolist())}
+    codes = np.array([sum(place[x] * base ** (high - 1 - i) for i, x in enumerate(n)) for n in names], np.int64)
+    order = np.argsort(codes)
+    return Terms(letters, low, high, codes[order], np.zeros(0), np.zeros(0), 0), order
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of some rows, the last one texts, of about ``CHARS`` characters."""
+    held, chars = None, 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held = held or [[] for _ in row]
+            for to, x in zip(held, row, strict=True):
+                to.append(x)
+            chars += len(row[-1])
+            if chars >= CHARS:
+                yield held
+                held, chars = None, 0
+    if held:
+        yield held
+
+
+def common_terms(df: DataFrame, text: str, low: int, high: int, min_df: int, max_features: int) -> Terms | None:
+    """The ``max_features`` most frequent terms of at least ``min_df`` rows. Each task sums its own counts before they move. None
+    where the letters are too many for codes of 62 bits."""
+    texts = df.select(clean(text).alias("t"))
+
+    def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0x110000, bool)
+        for (part,) in portions(batches):
+            seen[points(part)[0]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["x"])
+
+    letters = np.array(sorted(r["x"] for r in texts.mapInArrow(alphabet, "x long").distinct().collect()), np.int64)
+    if (len(letters) + 1) ** high >= 1 << 62:
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for (part,) in portions(batches):
+            for codes, _, tf in counted(part, letters, low, high):
+                head = np.flatnonzero(np.diff(codes, prepend=-1))
+                parts.append((codes[head], np.diff(np.append(head, len(codes))), np.add.reduceat(tf, head) if len(head) else tf))
+                size += len(head)
+            if size > 4_000_000:
+                parts = [summed(parts)]
+                size = 2 * len(parts[0][0]) if 2 * len(parts[0][0]) < 4_000_000 else 0
+        if parts:
+            codes, rows, times = summed(parts)
+            for i in range(0, len(codes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (codes, rows, times)], names=["code", "df", "cf"])
+
+    sums = texts.mapInArrow(count, "code long, df long, cf long").groupBy("code").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= min_df)
+    top = sorted((r["code"], r["df"], r["cf"]) for r in sums.orderBy(F.desc("cf"), "code").limit(max_features).collect())
+    codes, rows, times = (np.array([r[k] for r in top], np.int64) for k in range(3))
+    return Terms(letters, low, high, codes, rows, times, df.count())
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.concatenate([p[0] for p in parts])
+    by = np.argsort(codes, kind="stable")
+    head = np.flatnonzero(np.diff(codes[by], prepend=-1))
+    return codes[by][head], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[by], head) if len(head) else np.zeros(0, np.int64) for k in (1, 2))

@@ -6,11 +6,14 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import sigmoid
+from siltstone.operators.grams import clean, common_terms, cut, known_terms, portions
 from siltstone.operators.groups import char_grams, vocabulary
 from siltstone.operators.layers import fit_logistic, fit_platt
 from siltstone.operators.spread import written
@@ -28,8 +31,10 @@ class TextClassifier:
     settings: dict = field(default_factory=dict)
 
     def scores(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, margin, score) for every row: counts of the known terms, their weights from a join, sums per row. Rows without a
-        known term have the intercept as margin."""
+        """(key, margin, score) for every row. Rows without a known term have the intercept as margin."""
+        margin = self.margin(text)
+        if margin is not None:
+            return df.select(key, margin.alias("margin")).select(key, "margin", sigmoid(F.col("margin")).alias("score"))
         grams = char_grams(df, [key], text, self.low, self.high)
         counts = grams.join(self.terms, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"), F.first("weight").alias("weight"))
         value = (1 + F.log("tf") if self.sublinear else F.col("tf")) * F.col("idf")
@@ -37,6 +42,35 @@ class TextClassifier:
         margin = F.coalesce("__m", F.lit(0.0)) + F.lit(self.intercept)
         return df.select(key).join(sums, key, "left").select(key, margin.alias("margin"), sigmoid(margin).alias("score"))
 
+    def scored(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``score``: rows stay where they are."""
+        margin = self.margin(text)
+        if margin is not None:
+            return df.withColumn("__m", margin).withColumn("score", sigmoid(F.col("__m"))).drop("__m")
+        numbered = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered-rows")
+        return numbered.join(self.scores(numbered, "__at", text).select("__at", "score"), "__at").drop("__at")
+
+    def margin(self, text: str) -> Column | None:
+        """The margin of a text, from the terms in each task, at most as many as the fit held on the driver. None where the terms'
+        letters are too many for codes (``grams.known_terms``); then rows of n-grams meet the terms in a join (``scores``)."""
+        rows = self.terms.select("term", "idf", "weight").collect()
+        known = known_terms([r["term"] for r in rows], self.low, self.high)
+        if known is None:
+            return None
+        terms, order = known
+        idf, weight = (np.array([r[k] for r in rows], float)[order] for k in ("idf", "weight"))
+        intercept, sublinear = self.intercept, self.sublinear
+
+        def run(series: pd.Series) -> pd.Series:
+            out, texts = np.full(len(series), intercept), series.tolist()
+            for start, part in cut(texts):
+                term, doc, x = terms.entries(part, sublinear, idf)
+                norm = np.sqrt(np.bincount(doc, x * x, minlength=len(part)))
+                out[start : start + len(part)] += np.bincount(doc, x * weight[term], minlength=len(part)) / np.where(norm > 0, norm, 1.0)
+            return pd.Series(out)
+
+        return F.pandas_udf(run, "double")(clean(text))
+
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """The terms as Parquet and the rest as one JSON line, so any reader of either opens the model."""
         self.terms.write.mode(mode).parquet(f"{path}/terms")
@@ -68,6 +102,40 @@ def tfidf_terms(df: DataFrame, keys: list[str], text: str, low: int = 2, high: i
 def fit_classifier(df: DataFrame, key: str, text: str, label: str, low: int = 2, high: int = 5, min_df: int = 2, max_features: int = 50_000, c: float = 1.0, penalize_intercept: bool = False, sublinear: bool = True) -> TextClassifier:
     """Balanced logistic regression with the penalty of C on the tf-idf of the labelled rows of ``df``. With
     ``penalize_intercept`` the intercept is penalised like any weight. The fit holds ``max_features`` numbers on the driver."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias(label), F.col(text).alias("t"))
+    spark = df.sparkSession
+    terms = common_terms(rows, "t", low, high, min_df, max_features)
+    if terms is None:
+        return _fit_joined(df, key, text, label, low, high, min_df, max_features, c, penalize_intercept, sublinear)
+    names = terms.names()
+    size = len(names) + penalize_intercept
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for labels, texts in portions(batches):
+            term, doc, x = terms.entries(texts, sublinear)
+            x = x / np.sqrt(np.bincount(doc, x * x, minlength=len(texts)))[doc]
+            if penalize_intercept:
+                at = np.cumsum(np.bincount(doc, minlength=len(texts)))
+                term, x, doc = np.insert(term, at, size - 1), np.insert(x, at, 1.0), np.insert(doc, at, np.arange(len(texts)))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=len(texts)))), pa.int32())
+            parts = [pa.array(np.zeros(len(texts), np.int8)), pa.array(np.full(len(texts), size, np.int32)), pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], names=[label, "x"])
+
+    # A vector's struct is written as it is and read as a vector, so no row passes a function of its own.
+    plain = rows.select(label, clean("t").alias("t")).mapInArrow(vectors, f"`{label}` int, x struct<type:tinyint,size:int,indices:array<int>,values:array<double>>")
+    data = written(plain, "training-rows", StructType([StructField(label, IntegerType()), StructField("x", VectorUDT())]))
+    model = fit_logistic(data, "x", label, c, free_intercept=not penalize_intercept)
+    w = model.coefficients.toArray()
+    intercept = float(w[-1]) if penalize_intercept else float(model.intercept)
+    kept = written(spark.createDataFrame(pd.DataFrame({"term": names, "idf": terms.idf, "weight": w[: len(names)]}), "term string, idf double, weight double"), "classifier-terms")
+    return TextClassifier(kept, intercept, low, high, sublinear)
+
+
+def _fit_joined(df: DataFrame, key: str, text: str, label: str, low: int, high: int, min_df: int, max_features: int, c: float, penalize_intercept: bool, sublinear: bool) -> TextClassifier:
+    """``fit_classifier`` for texts of any number of letters: n-grams as rows."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     rows = df.where(F.col(label).isNotNull()).select(key, text, label)

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _made: dict[str, str] = {}
 
@@ -24,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage ends there, and the files last until the application ends."""
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again, as ``schema`` if given: the lineage ends there, and the files last until
+    the application ends."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/siltstone-core/{spark.sparkContext.applicationId}"
     if top not in _made:
@@ -33,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_forget, spark, top)
     path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def _forget(spark: SparkSession, top: str) -> None:

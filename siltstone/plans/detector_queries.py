@@ -8,6 +8,7 @@ from siltstone.functions import text as T
 from siltstone.operators import groups as G
 from siltstone.operators import layers, models, validators
 from siltstone.operators import metrics as M
+from siltstone.operators.spread import written
 from siltstone.plans.base import SCORED, Registry, scored, table
 
 query = Registry()
@@ -200,8 +201,9 @@ def _posts(spark, d):
 @query()
 def text_classifier(spark, d):
     """Terms to logistic regression to calibrated verdicts of both text detectors; half of the labels fit, a quarter calibrates."""
-    posts = _posts(spark, d)
+    # Written, as each step would join the texts to their labels again.
+    posts = written(_posts(spark, d), "posts")
     model = models.fit_classifier(posts.where("doc_id % 4 < 2"), "doc_id", "text", "label", 2, 4, 2, 20_000)
     a, b = models.calibrated(model, posts.where("doc_id % 4 = 2"), "doc_id", "text", "label")
-    scores = posts.join(model.scores(posts, "doc_id", "text"), "doc_id")
+    scores = model.scored(posts, "text")
     return layers.covert_ad(layers.authorship(scores.drop("label"), "text", "score", a, b), "text", "score").select("doc_id", "status", "calibrated", F.col("label").alias("verdict"), "ad_prediction", "ad_score")

@@ -249,3 +249,21 @@ def test_images_are_decoded_by_the_image_source(spark, tmp_path):
     assert got["a.png"] == ("completed", 3, 4, 36) and got["b.png"][0] == "422"
     big = io.read_decoded_images(spark, str(tmp_path), most=11).where("height > 0").head()
     assert big["status"] == "413" and big["data"] is None
+
+
+def test_classifier_without_rows_of_terms(spark, monkeypatch):
+    """The fit and the scores from counted terms equal those from rows of n-grams, which any number of letters may take."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice([["calm", "é你"], ["buy", "PROMO "]][i % 2] + ["river"], 5)), i % 2) for i in range(40)] + [(40, None, 1), (41, "", 0), (42, "zz", None)]
+    df = spark.createDataFrame(rows, "id long, t string, y int")
+    got = {}
+    for way in ("counted", "joined"):
+        if way == "joined":
+            monkeypatch.setattr(models, "common_terms", lambda *a: None)
+            monkeypatch.setattr(models, "known_terms", lambda *a: None)
+        model = models.fit_classifier(df, "id", "t", "y", 2, 4, 2, 60)
+        got[way] = {r["id"]: r["margin"] for r in model.scores(df, "id", "t").collect()}, {r["id"]: r["score"] for r in model.scored(df, "t").collect()}
+        plan = model.scores(df, "id", "t")._jdf.queryExecution().toString()
+        assert ("Generate" in plan) == (way == "joined")
+    for a, b in zip(*got.values(), strict=True):
+        assert len(a) == 43 and all(abs(a[k] - b[k]) < 1e-4 for k in a)
