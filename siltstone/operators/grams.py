@@ -172,9 +172,9 @@ class Terms:
             out = [x + signs[k] for x, k in zip(out, d.tolist(), strict=True)]
         return out
 
-    def entries(self, texts: list[str], sublinear: bool = True, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(term, text, tf-idf before its norm) of the known terms, by text."""
-        term, doc, x = [], [], []
+    def entries(self, texts: list[str], sublinear: bool = True, idf: np.ndarray | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, text, tf-idf before its norm) of the known terms, by text, then term. ``order`` renumbers the terms."""
+        term, doc, times = [], [], []
         idf = self.idf if idf is None else idf
         for codes, owner, tf in counted(texts, self.letters, self.low, self.high):
             head = np.flatnonzero(np.diff(codes, prepend=-1))
@@ -183,10 +183,20 @@ class Terms:
             keep = at >= 0
             term.append(at[keep])
             doc.append(owner[keep])
-            x.append((1 + np.log(tf[keep]) if sublinear else tf[keep]) * idf[at[keep]])
-        term, doc, x = np.concatenate(term), np.concatenate(doc), np.concatenate(x)
-        by = np.lexsort((term, doc))
-        return term[by], doc[by], x[by]
+            times.append(tf[keep])
+        term, doc, tf = np.concatenate(term), np.concatenate(doc), np.concatenate(times)
+        if order is not None:
+            term, idf = order[term], idf[np.argsort(order)]
+        # Sorted as one number each, which has room for any text that fits in memory; else by places.
+        size, most = max(1, len(self.codes)), int(tf.max()) + 1 if len(tf) else 1
+        if len(texts) * size * most < 1 << 62:
+            whole = np.sort((doc * size + term) * most + tf)
+            whole, tf = whole // most, whole % most
+            doc, term = whole // size, whole % size
+        else:
+            by = np.lexsort((term, doc))
+            term, doc, tf = term[by], doc[by], tf[by]
+        return term, doc, (1 + np.log(tf) if sublinear else tf) * idf[term]
 
 
 def counted(texts: list[str], letters: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -296,3 +306,131 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     by = np.argsort(codes, kind="stable")
     head = np.flatnonzero(np.diff(codes[by], prepend=-1))
     return codes[by][head], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[by], head) if len(head) else np.zeros(0, np.int64) for k in (1, 2))
+
+
+#: Squared norm that the leading, rarest terms of a row reach; more of them leave fewer pairs to compare. The result is exact for any.
+LEAD = 0.22
+#: Ranks at which a row's norm behind them is kept, and rows of the largest block, of which two meet in a task.
+CUTS, BLOCK_ROWS, BLOCKS = 32, 25_000, 6
+#: Weights of a lead are rounded up to one of these.
+STEPS = np.exp(-0.03 * np.arange(256))
+
+
+def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float) -> DataFrame:
+    """(a, b, sim) with a < b and cosine >= least of the tf-idf vectors of all rows, exactly. Keys are unique.
+
+    Terms have one order, by rising document frequency. A row's lead are its first terms with ``LEAD`` of its squared norm. Behind
+    the shorter of two leads, both rows' norms are known, and all before it that both share is in both leads, so a product is at most
+    that of the leads plus that of these norms. Of a row, its lead alone moves: to the blocks of rows, by number of terms, that can
+    be near, as the smaller of two rows has to hold ``least`` of the other's norm at least. Pairs whose bound is ``least`` are
+    candidates, and rows that candidates join are compared on all terms.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    rarity = np.empty(len(terms.codes), np.int64)
+    rarity[np.lexsort((terms.codes, terms.df))] = np.arange(len(terms.codes))
+    gap = np.dtype("<u2" if len(terms.codes) <= 1 << 16 else "<u4")
+    cuts = np.linspace(0, len(terms.codes), CUTS + 1).astype(np.int64)[:-1]
+    rows = df.select(key, clean(text).alias("t"))
+
+    def vectors(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, terms by rarity, weights) of those with a term."""
+        term, doc, x = terms.entries(texts, order=rarity)
+        ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+        for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+            if b > a:
+                yield i, term[a:b], x[a:b] / np.sqrt(x[a:b] @ x[a:b])
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, texts in portions(batches):
+            out = [[] for _ in range(8)]
+            for i, term, w in vectors(texts):
+                squares = w * w
+                sums = np.cumsum(squares)
+                k = min(int(np.searchsorted(sums, LEAD)) + 1, len(term))
+                most = np.cumsum(np.sort(squares)[::-1])
+                need = min(int(np.searchsorted(most, least * least - 1e-9)) + 1, len(term))
+                behind = np.sqrt(np.maximum(0.0, 1 - np.append(0.0, sums)[np.searchsorted(term, cuts)])) + 1e-7
+                up = np.minimum(np.floor(-np.log(w[:k]) / 0.03 + 1e-9), 255).clip(0).astype(np.uint8)
+                up -= (STEPS[up] < w[:k]) & (up > 0)
+                for to, v in zip(out, (names[i], len(term), need, int(term[k - 1]), float(np.sqrt(max(0.0, 1 - sums[k - 1])) + 1e-7), np.diff(term[:k], prepend=0).astype(gap).tobytes(), up.tobytes(), behind.astype("<f4").tobytes()), strict=True):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (name, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["k", "n", "need", "last", "left", "terms", "w", "behind"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    name = to_arrow_type(kind)
+    short = kind.simpleString()
+    lead = written(rows.mapInArrow(leads, f"k {short}, n long, need long, last long, left double, terms binary, w binary, behind binary"), "leads")
+    count = lead.count()
+    blocks = max(BLOCKS, -(-count // BLOCK_ROWS))
+    edges = sorted({int(x) for x in lead.approxQuantile("n", [i / blocks for i in range(1, blocks)], 0.001)}) if count else []
+    block = sum((F.when(F.col("n") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    lead = lead.withColumn("block", block)
+    spans = {r["block"]: (r["low"], r["high"], r["need"]) for r in lead.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need")).collect()}
+    # The rows of j, with more terms, need `need` terms of a row of i.
+    cells = [(i, j) for i in sorted(spans) for j in sorted(spans) if i <= j and spans[i][1] >= spans[j][2]]
+    if not cells:
+        return spark.createDataFrame([], f"a {short}, b {short}, sim double")
+    where = F.element_at(F.create_map(*[x for b in spans for x in (F.lit(b), F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(side).alias("side")) for c, (i, j) in enumerate(cells) for side in ((0,) if b == i else ()) + ((1,) if b == j and i != j else ())]))]), F.col("block"))
+    dealt = lead.select(F.explode(where).alias("x"), "k", "n", "need", "last", "left", "terms", "w", "behind").select("x.*", "k", "n", "need", "last", "left", "terms", "w", "behind")
+    total, steps = len(terms.codes), STEPS.astype(np.float32) * np.float32(1.0001)
+
+    def meet(part: pa.Table) -> pa.Table:
+        sides = part["side"].to_numpy()
+        two = 1 if (sides == 1).any() else 0
+        alone = part["cell"][0].as_py() in same
+        if not alone and (two == 0 or not (sides == 0).any()):
+            return pa.table({"a": pa.array([], name), "b": pa.array([], name)})
+        y = part.filter(pa.array(sides == two))
+        names = y["k"].to_pylist()
+        n, need, last, left = (y[c].to_numpy() for c in ("n", "need", "last", "left"))
+        behind = np.frombuffer(b"".join(y["behind"].to_pylist()), "<f4").reshape(len(names), CUTS)
+        lists = y["terms"].to_pylist()
+        sizes = np.array([len(t) // gap.itemsize for t in lists])
+        term = np.cumsum(np.frombuffer(b"".join(lists), gap), dtype=np.int64)
+        term = (term - np.repeat(np.append(0, term[np.cumsum(sizes)[:-1] - 1]), sizes)).astype(np.int32)
+        by = np.argsort(term, kind="stable")
+        owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)[by]
+        weight = steps[np.frombuffer(b"".join(y["w"].to_pylist()), np.uint8)[by]]
+        starts = np.searchsorted(term[by], np.arange(total + 1))
+        del term, by, lists
+        x = y if alone else part.filter(pa.array(sides == 0))
+        found_a, found_b = [], []
+        cut = np.maximum(np.searchsorted(cuts, last, "right") - 1, 0)
+        for i, (k, xn, xneed, xlast, xleft, xterms, xw, xbehind) in enumerate(zip(*(x[c].to_pylist() for c in ("k", "n", "need", "last", "left", "terms", "w", "behind")), strict=True)):
+            ids, ws = np.cumsum(np.frombuffer(xterms, gap), dtype=np.int64), steps[np.frombuffer(xw, np.uint8)]
+            own = np.frombuffer(xbehind, "<f4")
+            k1 = max(int(np.searchsorted(cuts, xlast, "right")) - 1, 0)
+            a, b = starts[ids], starts[ids + 1]
+            spans = b - a
+            at = np.repeat(a - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(spans.sum())
+            p = np.bincount(owner[at], weight[at] * np.repeat(ws, spans), minlength=len(names))
+            # Behind the lead that ends first; a norm behind an earlier cut is no less.
+            bound = p + np.where(last >= xlast, xleft * behind[:, k1], left * own[cut])
+            hit = (bound >= least - 1e-5) & (n >= xneed) & (xn >= need)
+            if alone:
+                hit[: i + 1] = False
+            for m in np.flatnonzero(hit).tolist():
+                found_a.append(k)
+                found_b.append(names[m])
+        return pa.table({"a": pa.array(found_a, name), "b": pa.array(found_b, name)})
+
+    same = {c for c, (i, j) in enumerate(cells) if i == j}
+    candidates = written(dealt.repartition(len(cells), "cell").groupBy("cell").applyInArrow(meet, f"a {short}, b {short}"), "candidates")
+    from siltstone.operators import groups as G
+
+    if candidates.isEmpty():
+        return spark.createDataFrame([], f"a {short}, b {short}, sim double")
+    roots = written(G.connected(candidates).select(F.col("node").alias("__k"), "root"), "candidate-groups")
+
+    def compare(part: pa.Table) -> pa.Table:
+        names, texts = part["k"].to_pylist(), part["t"].to_pylist()
+        order = sorted(range(len(names)), key=lambda i: names[i])
+        names = [names[i] for i in order]
+        entries = [(at + i, term, w) for at, some in cut([texts[i] for i in order]) for i, term, w in vectors(some)]
+        doc = np.concatenate([np.full(len(t), i) for i, t, _ in entries])
+        a, b, sims = cosines(np.concatenate([t for _, t, _ in entries]), doc, np.concatenate([w for *_, w in entries]), len(names), least)
+        return pa.table({"a": pa.array([names[i] for i in a], name), "b": pa.array([names[i] for i in b], name), "sim": pa.array(sims, pa.float64())})
+
+    whole = rows.join(roots, F.col(key) == F.col("__k")).select("root", F.col("__k").alias("k"), "t")
+    return written(whole.groupBy("root").applyInArrow(compare, f"a {short}, b {short}, sim double"), "near-pairs")

@@ -188,13 +188,29 @@ def near_pairs(vectors: DataFrame, key: str, least: float = 0.92, neighbours: in
     pairs = candidates.join(whole.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
     pairs = pairs.select("a", "b", "vb", F.explode("va").alias("term", "wa")).withColumn("wb", F.try_element_at("vb", F.col("term")))
     sims = written(pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.coalesce("wb", F.lit(0.0))).alias("sim")).where(F.col("sim") >= least), "near-pairs")
+    return nearest(sims, neighbours)
+
+
+def nearest(sims: DataFrame, neighbours: int) -> DataFrame:
+    """Of each row of either side the ``neighbours`` most similar ones, the smaller key on ties."""
     both = sims.union(sims.select("b", "a", "sim"))
     return both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))).where(F.col("r") <= neighbours).drop("r")
 
 
 def near_text_edges(df: DataFrame, key: str, text: str, least: float = 0.92, low: int = 3, high: int = 5, min_df: int = 2, max_features: int | None = 50_000, neighbours: int = 5) -> DataFrame:
     """(a, b, sim) between rows of nearly the same text: the rows that stand first for their text, as copies are linked by
-    other edges, and the terms of those texts."""
+    other edges, and the terms of those texts. Texts stay where they are, and so do their terms (``grams.near_texts``); keys that are
+    not unique, no bound on the terms and too many letters for codes take rows of terms (``near_pairs``)."""
+    from siltstone.operators import grams
+
+    if max_features and df.groupBy(key).count().where("count > 1").isEmpty():
+        hashed = df.select(key, F.coalesce(F.sha2(text, 256), F.lit("")).alias("__h"))
+        firsts = hashed.groupBy("__h").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+        copies = written(hashed.join(firsts, "__h").where(F.col(key) != F.col("__first")).select(key), "copies")
+        first = df.select(key, text).join(copies, key, "left_anti")
+        terms = grams.common_terms(first, text, low, high, min_df, max_features)
+        if terms is not None:
+            return nearest(grams.near_texts(first, key, text, terms, least), neighbours)
     first = df.groupBy(F.sha2(text, 256)).agg(F.min(F.struct(key, text)).alias("x")).select(f"x.{key}", f"x.{text}")
     first = written(first, "distinct-texts")
     return near_pairs(char_tfidf(first, [key], text, low, high, min_df, max_features=max_features), key, least, neighbours)

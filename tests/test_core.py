@@ -176,3 +176,23 @@ def test_similar_texts_equal_the_join_and_move_no_terms(spark):
     a, b, sims = grams.group_similarities(long, np.arange(40), 40, 2, 4, 0.3, block=7)
     whole = grams.group_similarities(long, np.arange(40), 40, 2, 4, 0.3)
     assert dict(zip(zip(a, b), sims.round(9))) == dict(zip(zip(*whole[:2]), whole[2].round(9))) and len(a)
+
+
+def test_near_texts_equal_the_join(spark, monkeypatch):
+    """The exact pairs of rows of terms, from leads alone: over random words with copies changed a little, in blocks of few rows."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdeé "), 5)) for _ in range(80)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 60)))) for _ in range(60)]
+    texts += [t + rng.choice(["", " x", "!", " " + words[0]]) for t in texts for _ in range(2)] + [None, "", "", "ab", "你好"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = lambda x: sorted((r["a"], r["b"], round(r["sim"], 9)) for r in x.collect())
+    near = lambda: got(G.near_text_edges(df, "id", "t", 0.9, max_features=400))
+    monkeypatch.setattr(grams, "common_terms", lambda *a, f=grams.common_terms: None)
+    want = near()
+    monkeypatch.undo()
+    plan = G.near_text_edges(df, "id", "t", 0.9, max_features=400)._jdf.queryExecution().toString()
+    assert len(want) > 100 and near() == want and "Generate" not in plan
+    monkeypatch.setattr(G, "near_pairs", None)  # rows of terms are not made
+    monkeypatch.setattr(grams, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(grams, "LEAD", 0.4)
+    assert near() == want
