@@ -196,3 +196,14 @@ def test_near_texts_equal_the_join(spark, monkeypatch):
     monkeypatch.setattr(grams, "BLOCK_ROWS", 9)
     monkeypatch.setattr(grams, "LEAD", 0.4)
     assert near() == want
+
+
+@pytest.mark.parametrize("name", ["safe_components", "safe_split_leaks"])
+def test_safe_queries_make_no_rows_of_terms(spark, monkeypatch, name):
+    monkeypatch.setattr(G, "near_pairs", None)
+    monkeypatch.setattr(G, "char_tfidf", None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    cursor = con.execute(registry.SQL[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, DATA).collect()) == sorted(cursor.fetchall())
