@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,30 @@ def group_similarities(texts: list[str], docs: np.ndarray, n: int, low: int, hig
 
 def cosines(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, product) with a < b and product >= least of ``m`` rows given by their entries, as dense products of blocks."""
+    found = list(products(term, doc, w, m, least, block))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
+def nearest_rows(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: float, neighbours: int, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, product): of each row its ``neighbours`` largest products of ``least`` at least, the smaller row on ties. No more than
+    about ``held`` others wait, so a group of copies takes no room for its pairs."""
+
+    def best(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((b, -np.round(sims, 9), a))
+        keep = by[np.arange(len(by)) - np.searchsorted(a[by], a[by]) < neighbours]
+        return a[keep], b[keep], sims[keep]
+
+    parts, size = [], 0
+    for a, b, sims in products(term, doc, w, m, least, 1024):
+        parts += [(a, b, sims), (b, a, sims)]
+        size += 2 * len(a)
+        if size > held:
+            parts, size = [best(*(np.concatenate([f[k] for f in parts]) for k in range(3)))], 0
+    return best(*(np.concatenate([f[k] for f in parts]) for k in range(3))) if parts else (np.zeros(0, np.int64),) * 3
+
+
+def products(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     term, columns = dense(term)
-    found = []
     by = np.argsort(doc, kind="stable")
     starts = np.searchsorted(doc[by], np.arange(0, m + block, block))
     width = 4_000_000 // block
@@ -85,8 +108,7 @@ def cosines(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: flo
                 sims += x @ y.T
             a, b = np.nonzero(sims >= least)
             keep = a + i < b + j
-            found.append((a[keep] + i, b[keep] + j, sims[a[keep], b[keep]]))
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            yield a[keep] + i, b[keep] + j, sims[a[keep], b[keep]]
 
 
 #: Characters of the largest group that one task takes whole.
@@ -310,20 +332,22 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
 
 #: Squared norm that the leading, rarest terms of a row reach; more of them leave fewer pairs to compare. The result is exact for any.
 LEAD = 0.22
-#: Ranks at which a row's norm behind them is kept, and rows of the largest block, of which two meet in a task.
-CUTS, BLOCK_ROWS, BLOCKS = 32, 25_000, 6
+#: Ranks at which a row's norm behind them is kept, and rows of a block, which meets in its task the larger rows that can be near.
+CUTS, BLOCK_ROWS, BLOCKS = 32, 10_000, 18
 #: Weights of a lead are rounded up to one of these.
 STEPS = np.exp(-0.03 * np.arange(256))
 
 
-def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float) -> DataFrame:
-    """(a, b, sim) with a < b and cosine >= least of the tf-idf vectors of all rows, exactly. Keys are unique.
+def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, neighbours: int) -> DataFrame:
+    """(a, b, sim): of each row its ``neighbours`` nearest others with cosine >= least of the tf-idf vectors of all rows, exactly,
+    the smaller key on ties. Keys are unique.
 
     Terms have one order, by rising document frequency. A row's lead are its first terms with ``LEAD`` of its squared norm. Behind
     the shorter of two leads, both rows' norms are known, and all before it that both share is in both leads, so a product is at most
-    that of the leads plus that of these norms. Of a row, its lead alone moves: to the blocks of rows, by number of terms, that can
-    be near, as the smaller of two rows has to hold ``least`` of the other's norm at least. Pairs whose bound is ``least`` are
-    candidates, and rows that candidates join are compared on all terms.
+    that of the leads plus that of these norms. Of a row, its lead alone moves: to its own block of rows, by number of terms, and
+    to those of smaller rows that can be near, as the smaller of two rows has to hold ``least`` of the other's norm at least. Pairs
+    whose bound is ``least`` are candidates; of these a task returns a forest that joins the same rows, never all pairs. Rows that
+    candidates join are compared on all terms.
     """
     spark, kind = df.sparkSession, df.schema[key].dataType
     rarity = np.empty(len(terms.codes), np.int64)
@@ -364,24 +388,18 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float) -
     count = lead.count()
     blocks = max(BLOCKS, -(-count // BLOCK_ROWS))
     edges = sorted({int(x) for x in lead.approxQuantile("n", [i / blocks for i in range(1, blocks)], 0.001)}) if count else []
-    block = sum((F.when(F.col("n") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    lead = lead.withColumn("block", block)
-    spans = {r["block"]: (r["low"], r["high"], r["need"]) for r in lead.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need")).collect()}
-    # The rows of j, with more terms, need `need` terms of a row of i.
-    cells = [(i, j) for i in sorted(spans) for j in sorted(spans) if i <= j and spans[i][1] >= spans[j][2]]
-    if not cells:
-        return spark.createDataFrame([], f"a {short}, b {short}, sim double")
-    where = F.element_at(F.create_map(*[x for b in spans for x in (F.lit(b), F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(side).alias("side")) for c, (i, j) in enumerate(cells) for side in ((0,) if b == i else ()) + ((1,) if b == j and i != j else ())]))]), F.col("block"))
-    dealt = lead.select(F.explode(where).alias("x"), "k", "n", "need", "last", "left", "terms", "w", "behind").select("x.*", "k", "n", "need", "last", "left", "terms", "w", "behind")
+    block = lambda c: sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    # A row with `need` needed terms can be near rows of its own block and of those down to the first that holds as many terms.
+    cell = F.explode(F.sequence(block("need"), block("n")))
+    dealt = lead.select(cell.alias("cell"), block("n").alias("block"), "k", "n", "need", "last", "left", "terms", "w", "behind")
     total, steps = len(terms.codes), STEPS.astype(np.float32) * np.float32(1.0001)
 
     def meet(part: pa.Table) -> pa.Table:
-        sides = part["side"].to_numpy()
-        two = 1 if (sides == 1).any() else 0
-        alone = part["cell"][0].as_py() in same
-        if not alone and (two == 0 or not (sides == 0).any()):
+        inner = pc.equal(part["block"], part["cell"])
+        x = part.filter(inner)
+        y = pa.concat_tables([x, part.filter(pc.invert(inner))])
+        if not len(x):
             return pa.table({"a": pa.array([], name), "b": pa.array([], name)})
-        y = part.filter(pa.array(sides == two))
         names = y["k"].to_pylist()
         n, need, last, left = (y[c].to_numpy() for c in ("n", "need", "last", "left"))
         behind = np.frombuffer(b"".join(y["behind"].to_pylist()), "<f4").reshape(len(names), CUTS)
@@ -394,8 +412,7 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float) -
         weight = steps[np.frombuffer(b"".join(y["w"].to_pylist()), np.uint8)[by]]
         starts = np.searchsorted(term[by], np.arange(total + 1))
         del term, by, lists
-        x = y if alone else part.filter(pa.array(sides == 0))
-        found_a, found_b = [], []
+        found_a, found_b, joined = [], [], np.arange(len(names))
         cut = np.maximum(np.searchsorted(cuts, last, "right") - 1, 0)
         for i, (k, xn, xneed, xlast, xleft, xterms, xw, xbehind) in enumerate(zip(*(x[c].to_pylist() for c in ("k", "n", "need", "last", "left", "terms", "w", "behind")), strict=True)):
             ids, ws = np.cumsum(np.frombuffer(xterms, gap), dtype=np.int64), steps[np.frombuffer(xw, np.uint8)]
@@ -408,15 +425,17 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float) -
             # Behind the lead that ends first; a norm behind an earlier cut is no less.
             bound = p + np.where(last >= xlast, xleft * behind[:, k1], left * own[cut])
             hit = (bound >= least - 1e-5) & (n >= xneed) & (xn >= need)
-            if alone:
-                hit[: i + 1] = False
-            for m in np.flatnonzero(hit).tolist():
-                found_a.append(k)
-                found_b.append(names[m])
+            hit[: i + 1] = False
+            near = np.flatnonzero(hit)
+            others, at = np.unique(joined[near], return_index=True)
+            new = others != joined[i]
+            if new.any():
+                found_a += [k] * int(new.sum())
+                found_b += [names[m] for m in near[at[new]].tolist()]
+                joined[np.isin(joined, others[new])] = joined[i]
         return pa.table({"a": pa.array(found_a, name), "b": pa.array(found_b, name)})
 
-    same = {c for c, (i, j) in enumerate(cells) if i == j}
-    candidates = written(dealt.repartition(len(cells), "cell").groupBy("cell").applyInArrow(meet, f"a {short}, b {short}"), "candidates")
+    candidates = written(dealt.repartition(len(edges) + 1, "cell").groupBy("cell").applyInArrow(meet, f"a {short}, b {short}"), "candidates")
     from siltstone.operators import groups as G
 
     if candidates.isEmpty():
@@ -429,8 +448,8 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float) -
         names = [names[i] for i in order]
         entries = [(at + i, term, w) for at, some in cut([texts[i] for i in order]) for i, term, w in vectors(some)]
         doc = np.concatenate([np.full(len(t), i) for i, t, _ in entries])
-        a, b, sims = cosines(np.concatenate([t for _, t, _ in entries]), doc, np.concatenate([w for *_, w in entries]), len(names), least)
+        a, b, sims = nearest_rows(np.concatenate([t for _, t, _ in entries]), doc, np.concatenate([w for *_, w in entries]), len(names), least, neighbours)
         return pa.table({"a": pa.array([names[i] for i in a], name), "b": pa.array([names[i] for i in b], name), "sim": pa.array(sims, pa.float64())})
 
     whole = rows.join(roots, F.col(key) == F.col("__k")).select("root", F.col("__k").alias("k"), "t")
-    return written(whole.groupBy("root").applyInArrow(compare, f"a {short}, b {short}, sim double"), "near-pairs")
+    return written(whole.groupBy("root").applyInArrow(compare, f"a {short}, b {short}, sim double"), "nearest")

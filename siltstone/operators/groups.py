@@ -210,7 +210,7 @@ def near_text_edges(df: DataFrame, key: str, text: str, least: float = 0.92, low
         first = df.select(key, text).join(copies, key, "left_anti")
         terms = grams.common_terms(first, text, low, high, min_df, max_features)
         if terms is not None:
-            return nearest(grams.near_texts(first, key, text, terms, least), neighbours)
+            return grams.near_texts(first, key, text, terms, least, neighbours)
     first = df.groupBy(F.sha2(text, 256)).agg(F.min(F.struct(key, text)).alias("x")).select(f"x.{key}", f"x.{text}")
     first = written(first, "distinct-texts")
     return near_pairs(char_tfidf(first, [key], text, low, high, min_df, max_features=max_features), key, least, neighbours)

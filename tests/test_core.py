@@ -207,3 +207,20 @@ def test_safe_queries_make_no_rows_of_terms(spark, monkeypatch, name):
     cursor = con.execute(registry.SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, DATA).collect()) == sorted(cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", ["safe_components"])
+def test_a_group_of_near_copies_writes_no_pairs(spark, tmp_path, monkeypatch, name):
+    """40 texts that are near each other: candidates are a tree in each task, and of each text five others at most are written, not all 780 pairs."""
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"other{i}", *words[i + 1 :]]) for i in range(40)] + [" ".join(f"else{i}{k}" for k in range(20)) for i in range(5)]
+    docs = [(i, t, f"s{i}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {}
+    monkeypatch.setattr(grams, "written", lambda df, label, f=grams.written: (out := f(df, label), rows.update({label: out.count()}))[0])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = con.execute(registry.SQL[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(cursor.fetchall())
+    assert 39 <= rows["candidates"] <= 160 and rows["nearest"] == 220
