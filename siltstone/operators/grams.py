@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -334,6 +335,8 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
 LEAD = 0.22
 #: Ranks at which a row's norm behind them is kept, and rows of a block, which meets in its task the larger rows that can be near.
 CUTS, BLOCK_ROWS, BLOCKS = 32, 10_000, 18
+#: Blocks whose tasks are planned as one job.
+WAVE = 64
 #: Weights of a lead are rounded up to one of these.
 STEPS = np.exp(-0.03 * np.arange(256))
 
@@ -344,8 +347,9 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, n
 
     Terms have one order, by rising document frequency. A row's lead are its first terms with ``LEAD`` of its squared norm. Behind
     the shorter of two leads, both rows' norms are known, and all before it that both share is in both leads, so a product is at most
-    that of the leads plus that of these norms. Of a row, its lead alone moves: to its own block of rows, by number of terms, and
-    to those of smaller rows that can be near, as the smaller of two rows has to hold ``least`` of the other's norm at least. Pairs
+    that of the leads plus that of these norms. Leads are written once; a task reads those of its own block of rows, by number of terms, and
+    of the larger rows that can be near, as the smaller of two rows has to hold ``least`` of the other's norm at least. No lead is
+    shuffled, as a row can be near many blocks. Pairs
     whose bound is ``least`` are candidates; of these a task returns a forest that joins the same rows, never all pairs. Rows that
     candidates join are compared on all terms.
     """
@@ -388,14 +392,26 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, n
     count = lead.count()
     blocks = max(BLOCKS, -(-count // BLOCK_ROWS))
     edges = sorted({int(x) for x in lead.approxQuantile("n", [i / blocks for i in range(1, blocks)], 0.001)}) if count else []
-    block = lambda c: sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    # A row with `need` needed terms can be near rows of its own block and of those down to the first that holds as many terms.
-    cell = F.explode(F.sequence(block("need"), block("n")))
-    dealt = lead.select(cell.alias("cell"), block("n").alias("block"), "k", "n", "need", "last", "left", "terms", "w", "behind")
     total, steps = len(terms.codes), STEPS.astype(np.float32) * np.float32(1.0001)
 
+    def dealt(c: int) -> DataFrame:
+        """The rows of cell ``c``, one task: its own block, and rows of higher blocks that need no more terms than its rows have."""
+        above = lambda name: F.col(name) > edges[c - 1] if c else F.lit(True)
+        within = lambda name: F.col(name) <= edges[c] if c < len(edges) else F.lit(True)
+        some = lead.where(above("n") & within("need"))
+        return some.select(F.lit(c).alias("cell"), within("n").alias("own"), "k", "n", "need", "last", "left", "terms", "w", "behind").coalesce(1)
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            cells = pc.unique(batch["cell"]).to_pylist()
+            for c in cells:
+                held.setdefault(c, []).append(batch if len(cells) == 1 else batch.filter(pc.equal(batch["cell"], c)))
+        for parts in held.values():
+            yield from meet(pa.Table.from_batches(parts)).to_batches()
+
     def meet(part: pa.Table) -> pa.Table:
-        inner = pc.equal(part["block"], part["cell"])
+        inner = part["own"]
         x = part.filter(inner)
         y = pa.concat_tables([x, part.filter(pc.invert(inner))])
         if not len(x):
@@ -435,7 +451,11 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, n
                 joined[np.isin(joined, others[new])] = joined[i]
         return pa.table({"a": pa.array(found_a, name), "b": pa.array(found_b, name)})
 
-    candidates = written(dealt.repartition(len(edges) + 1, "cell").groupBy("cell").applyInArrow(meet, f"a {short}, b {short}"), "candidates")
+    # Spark puts a union of one-task inputs into one task, unless they differ from another input: the empty one.
+    none = spark.createDataFrame([], dealt(0).schema)
+    waves = [range(c, min(c + WAVE, len(edges) + 1)) for c in range(0, len(edges) + 1, WAVE)]
+    met = [written(reduce(DataFrame.union, map(dealt, wave), none).mapInArrow(meets, f"a {short}, b {short}"), "candidates") for wave in waves]
+    candidates = reduce(DataFrame.union, met)
     from siltstone.operators import groups as G
 
     if candidates.isEmpty():

@@ -224,3 +224,25 @@ def test_a_group_of_near_copies_writes_no_pairs(spark, tmp_path, monkeypatch, na
     columns = [c[0] for c in cursor.description]
     assert sorted(tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(cursor.fetchall())
     assert 39 <= rows["candidates"] <= 160 and rows["nearest"] == 220
+
+
+def test_leads_are_read_by_block_and_not_shuffled(spark, monkeypatch):
+    """A row can be near many blocks, so a shuffle to them takes a copy of its lead for each; blocks read the written leads, a task each."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcde "), 5)) for _ in range(80)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 60)))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts + [t + " x" for t in texts])), "id long, t string")
+    plans, tasks = [], []
+
+    def seen(out, label, f=grams.written):
+        if label == "candidates":
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            tasks.append(sum(n > 0 for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()))
+        return f(out, label)
+
+    got = lambda: sorted((r["a"], r["b"], round(r["sim"], 9)) for r in G.near_text_edges(df, "id", "t", 0.9).collect())
+    monkeypatch.setattr(grams, "written", seen)
+    want = got()
+    assert len(want) > 60 and len(plans) == 1 and "Exchange" not in plans[0] and tasks[0] > 5
+    monkeypatch.setattr(grams, "WAVE", 4)
+    assert got() == want and len(plans) > 4
