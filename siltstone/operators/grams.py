@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -116,6 +117,44 @@ def products(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: fl
 GROUP_CHARS = 2_000_000
 
 
+def placed(p: list, t: list, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(a, b, cosine) of one group's texts ``t`` at the places ``p``, as numbers of the places that follow. Texts without a place are
+    in no pair."""
+    names = sorted({x for x in p if x is not None})
+    number = {x: i for i, x in enumerate(names)} | {None: len(names)}
+    a, b, sims = group_similarities(t, np.array([number[x] for x in p]), len(t), low, high, least)
+    keep = b < len(names)
+    return a[keep], b[keep], sims[keep], names
+
+
+def by_group(done, names: list[str], types: list[pa.DataType], fewest: int):
+    """A function over batches of (group, ...) by group: the columns that ``done`` returns for each group of ``fewest`` rows at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+        held, out = None, [[] for _ in names]
+
+        def close() -> None:
+            if held is not None and len(held[1]) >= fewest:
+                for to, v in zip(out, done(*held), strict=True):
+                    to.extend(v)
+
+        for batch in batches:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or held[0] != g:
+                    close()
+                    held = (g, *([] for _ in row))
+                for to, v in zip(held[1:], row, strict=True):
+                    to.append(v)
+                if len(out[0]) > 50_000:
+                    yield made()
+                    out = [[] for _ in names]
+        close()
+        yield made()
+
+    return run
+
+
 def similar_texts(df: DataFrame, group: str, pos: str, text: str, least: float, low: int = 2, high: int = 4, most: int | None = None) -> DataFrame:
     """(group, a, b, sim) with cosine >= least for a < b of one group, on tf-idf of character n-grams fitted on that group.
 
@@ -129,35 +168,13 @@ def similar_texts(df: DataFrame, group: str, pos: str, text: str, least: float,
     large = written(rows.groupBy(group).agg(F.sum(F.length(text)).alias("__n")).where(F.col("__n") > most).select(group), "large-groups")
     kind, place = df.schema[group].dataType, df.schema[pos].dataType
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(g, p: list, t: list) -> tuple[list, list, list, list]:
-            names = sorted({x for x in p if x is not None})
-            number = {x: i for i, x in enumerate(names)} | {None: len(names)}
-            a, b, sims = group_similarities(t, np.array([number[x] for x in p]), len(t), low, high, least)
-            keep = b < len(names)
-            return [g] * int(keep.sum()), [names[i] for i in a[keep]], [names[i] for i in b[keep]], sims[keep].tolist()
-
-        held, out = None, ([], [], [], [])
-        for batch in batches:
-            for g, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is None or held[0] != g:
-                    if held is not None and len(held[1]) > 1:
-                        for k, v in enumerate(done(*held)):
-                            out[k].extend(v)
-                    held = (g, [], [])
-                held[1].append(p)
-                held[2].append(t)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["g", "a", "b", "sim"])
-                    out = ([], [], [], [])
-        if held is not None and len(held[1]) > 1:
-            for k, v in enumerate(done(*held)):
-                out[k].extend(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["g", "a", "b", "sim"])
+    def done(g, p: list, t: list) -> tuple[list, list, list, list]:
+        a, b, sims, names = placed(p, t, least, low, high)
+        return [g] * len(a), [names[i] for i in a], [names[i] for i in b], sims.tolist()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [to_arrow_type(kind), to_arrow_type(place), to_arrow_type(place), pa.float64()]
+    pairs = by_group(done, ["g", "a", "b", "sim"], [to_arrow_type(kind), to_arrow_type(place), to_arrow_type(place), pa.float64()], 2)
     small = rows.join(large, group, "left_anti").select(group, pos, clean(text).alias("__t"))
     small = small.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions(group)
     out = small.mapInArrow(pairs, f"g {kind.simpleString()}, a {place.simpleString()}, b {place.simpleString()}, sim double").withColumnRenamed("g", group)
@@ -167,6 +184,36 @@ def similar_texts(df: DataFrame, group: str, pos: str, text: str, least: float,
     return out.union(G.similar_pairs(vectors, group, pos, least))
 
 
+def group_reports(df: DataFrame, group: str, pos: str, text: str, least: float, low: int = 2, high: int = 4, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(group, valid, duplicate_members, duplicate_groups, pairs, max_similarity, clusters) of each group, clusters as lists of places
+    or null; and the groups of more than ``most`` characters (``GROUP_CHARS``), which have no row there.
+
+    A task has all texts of a group, so its copies, pairs and clusters come as one row: no n-gram, pair or edge is written."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    most = GROUP_CHARS if most is None else most
+    rows = df.where(F.col(group).isNotNull()).select(group, pos, text)
+    large = written(rows.groupBy(group).agg(F.sum(F.length(text)).alias("__n")).where(F.col("__n") > most).select(group), "large-groups")
+    kind, place = df.schema[group].dataType, df.schema[pos].dataType
+
+    def done(g, p: list, keys: list, t: list) -> tuple[list, ...]:
+        counts = [n for n in Counter(keys).values() if n > 1]
+        a, b, sims, names = placed(p, t, least, low, high) if len(t) > 1 else ([], [], np.zeros(0), [])
+        root = np.arange(len(names))
+        for i, j in zip(a, b, strict=True):
+            if root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+        inside = sorted({*map(int, a), *map(int, b)})
+        clusters = sorted([names[i] for i in inside if root[i] == r] for r in {root[i] for i in inside})
+        return [g], [len(t)], [sum(counts)], [len(counts)], [len(a)], [float(sims.max()) if len(a) else None], [clusters or None]
+
+    columns = {"g": to_arrow_type(kind), "valid": pa.int64(), "duplicate_members": pa.int64(), "duplicate_groups": pa.int64(), "pairs": pa.int64(), "max_similarity": pa.float64(), "clusters": pa.list_(pa.list_(to_arrow_type(place)))}
+    small = rows.join(large, group, "left_anti").select(group, pos, F.col(text).alias("__k"), clean(text).alias("__t"))
+    small = small.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions(group)
+    schema = f"g {kind.simpleString()}, valid long, duplicate_members long, duplicate_groups long, pairs long, max_similarity double, clusters array<array<{place.simpleString()}>>"
+    return small.mapInArrow(by_group(done, list(columns), list(columns.values()), 1), schema).withColumnRenamed("g", group), large
+
+
 @dataclass
 class Terms:
     """The n-grams that count, the most frequent ones by count, then by term. A code is a term's letters, as places from 1 in

@@ -248,22 +248,33 @@ def safe_groups(df: DataFrame, node: str, keys: list[str], edges: DataFrame | No
     return df.select(node).join(roots, F.col(node) == F.col("node"), "left").select(node, F.coalesce("root", node).alias("component"))
 
 
-def coordination(comments: DataFrame, group: str, pos: str, key: str, least: float = 0.78, shortest: int = 4, low: int = 2, high: int = 4) -> DataFrame:
-    """The heuristic report per group from normalised comments ``key``: counts, pairs, clusters, score in [0, 1], risk."""
-    from siltstone.functions.text import clip01, risk_band
-
-    valid = comments.where(F.length(key) >= shortest)
+def joined_reports(valid: DataFrame, group: str, pos: str, key: str, least: float, low: int, high: int) -> DataFrame:
+    """The rows of ``grams.group_reports`` for groups of any size, from rows of n-grams."""
     n = valid.groupBy(group).agg(F.count("*").alias("valid"))
     copies = valid.groupBy(group, key).agg(F.count("*").alias("c")).where("c >= 2").groupBy(group).agg(F.sum("c").alias("duplicate_members"), F.count("*").alias("duplicate_groups"))
-    pairs = written(similar_pairs(char_tfidf(valid, [group, pos], key, low, high, within=[group]), group, pos, least - 1e-9), "pairs")
+    pairs = written(similar_pairs(char_tfidf(valid, [group, pos], key, low, high, within=[group]), group, pos, least), "pairs")
     # Nodes are numbered by group and place, so one run finds the clusters of all groups.
     node = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("p"))
     roots = connected(pairs.select(node("a").alias("a"), node("b").alias("b")))
-    clusters = roots.groupBy("root").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node.p")).alias("members")).select(F.col("root.g").alias(group), "size", "members")
-    clusters = clusters.groupBy(group).agg(F.max("size").alias("largest"), F.array_sort(F.collect_list("members")).alias("clusters"))
-    pair_stats = pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.max("sim").alias("max_similarity"), F.count_distinct("a").alias("_"))
-    linked = roots.groupBy(F.col("node.g").alias(group)).agg(F.count("*").alias("similar_members"))
-    out = comments.groupBy(group).agg(F.count("*").alias("comments")).join(n, group, "left").join(copies, group, "left").join(pair_stats.drop("_"), group, "left").join(clusters, group, "left").join(linked, group, "left")
+    clusters = roots.groupBy("root").agg(F.sort_array(F.collect_list("node.p")).alias("members")).select(F.col("root.g").alias(group), "members")
+    clusters = clusters.groupBy(group).agg(F.array_sort(F.collect_list("members")).alias("clusters"))
+    stats = pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.max("sim").alias("max_similarity"))
+    return n.join(copies, group, "left").join(stats, group, "left").join(clusters, group, "left")
+
+
+def coordination(comments: DataFrame, group: str, pos: str, key: str, least: float = 0.78, shortest: int = 4, low: int = 2, high: int = 4) -> DataFrame:
+    """The heuristic report per group from normalised comments ``key``: counts, pairs, clusters, score in [0, 1], risk.
+
+    A group comes from one task (``grams.group_reports``); only one that is too large for that takes rows of n-grams and joins."""
+    from siltstone.functions.text import clip01, risk_band
+    from siltstone.operators import grams
+
+    valid = comments.where(F.length(key) >= shortest)
+    report, large = grams.group_reports(valid, group, pos, key, least - 1e-9, low, high)
+    if not large.isEmpty():
+        report = report.unionByName(joined_reports(valid.join(large, group, "left_semi"), group, pos, key, least - 1e-9, low, high))
+    report = report.withColumns({"similar_members": F.aggregate("clusters", F.lit(0), lambda n, c: n + F.size(c)), "largest": F.array_max(F.transform("clusters", lambda c: F.size(c)))})
+    out = comments.groupBy(group).agg(F.count("*").alias("comments")).join(written(report, "reports"), group, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     all_pairs = F.greatest(zero("valid") * (zero("valid") - 1) / 2, F.lit(1))
     per = F.greatest(zero("valid"), F.lit(1))

@@ -136,7 +136,7 @@ SELECT conv_id, valid, duplicate_members, similar_pairs, largest_cluster, max_si
 @query(_RECOORD)
 def coordination(spark, d):
     """The heuristic report of every conversation, to whose comments near and exact copies are added."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", canonical(F.col("text")).alias("key"))
+    c = G.written(table(spark, d, "conversations").select("conv_id", "turn", canonical(F.col("text")).alias("key")), "canonical")
     near = c.where("turn % 2 = 0").select("conv_id", (F.col("turn") + 100).alias("turn"), F.concat("key", F.lit("x")).alias("key"))
     exact = c.where("turn % 3 = 0").select("conv_id", (F.col("turn") + 200).alias("turn"), "key")
     return G.coordination(c.union(near).union(exact), "conv_id", "turn", "key").select("conv_id", "valid", "duplicate_members", "similar_pairs", "largest_cluster", "max_similarity", "score", "risk")

@@ -178,6 +178,22 @@ def test_similar_texts_equal_the_join_and_move_no_terms(spark):
     assert dict(zip(zip(a, b), sims.round(9))) == dict(zip(zip(*whole[:2]), whole[2].round(9))) and len(a)
 
 
+def test_coordination_takes_a_group_in_one_task(spark, monkeypatch):
+    """No rows of n-grams, pairs or edges are written, and a group that is too large for a task has the same report from rows."""
+    texts = ["the cat sat on the mat", "the cat sat on the mat!", "a dog ran off", "xyz", None, "the cat sat on the mat", "a dog ran of"]
+    rows = [(g, p, texts[(p * g) % 7]) for g in range(1, 7) for p in range(9)] + [(2, 3, "twice the place"), (3, None, "the cat sat on"), (None, 1, "lost words"), (9, 0, "alone")]
+    df = spark.createDataFrame(rows, "g long, p int, key string")
+    got = lambda: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in G.coordination(df, "g", "p", "key").collect()), key=repr)
+    monkeypatch.setattr(grams, "GROUP_CHARS", 40)
+    want = got()
+    monkeypatch.undo()
+    labels = []
+    for name in ("char_tfidf", "similar_pairs", "connected"):
+        monkeypatch.setattr(G, name, None)
+    monkeypatch.setattr(G, "written", lambda out, label, f=G.written: (labels.append(label), f(out, label))[1])
+    assert got() == want and len(want) == 8 and max(r[3] for r in want) > 2 and "pairs" not in labels
+
+
 def test_near_texts_equal_the_join(spark, monkeypatch):
     """The exact pairs of rows of terms, from leads alone: over random words with copies changed a little, in blocks of few rows."""
     rng = np.random.default_rng(7)
