@@ -93,13 +93,14 @@ def nearest_rows(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least
     return best(*(np.concatenate([f[k] for f in parts]) for k in range(3))) if parts else (np.zeros(0, np.int64),) * 3
 
 
-def products(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def products(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: float, block: int, first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """With ``first`` only products of one of the ``first`` rows and one behind them."""
     term, columns = dense(term)
     by = np.argsort(doc, kind="stable")
     starts = np.searchsorted(doc[by], np.arange(0, m + block, block))
     width = 4_000_000 // block
-    for i in range(0, m, block):
-        for j in range(i, m, block):
+    for i in range(0, m if first is None else first, block):
+        for j in range(i if first is None else first // block * block, m, block):
             sims = np.zeros((min(block, m - i), min(block, m - j)))
             one, two = by[starts[i // block] : starts[i // block + 1]], by[starts[j // block] : starts[j // block + 1]]
             for c in range(0, columns, width):
@@ -109,7 +110,7 @@ def products(term: np.ndarray, doc: np.ndarray, w: np.ndarray, m: int, least: fl
                     to[doc[rows] - base, term[rows] - c] = w[rows]
                 sims += x @ y.T
             a, b = np.nonzero(sims >= least)
-            keep = a + i < b + j
+            keep = a + i < b + j if first is None else (a + i < first) & (b + j >= first)
             yield a[keep] + i, b[keep] + j, sims[a[keep], b[keep]]
 
 
@@ -294,7 +295,7 @@ def counted(texts: list[str], letters: np.ndarray, low: int, high: int) -> Itera
 
 
 #: Characters that are counted at once.
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 
 def cut(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -357,9 +358,9 @@ def common_terms(df: DataFrame, text: str, low: int, high: int, min_df: int, max
                 head = np.flatnonzero(np.diff(codes, prepend=-1))
                 parts.append((codes[head], np.diff(np.append(head, len(codes))), np.add.reduceat(tf, head) if len(head) else tf))
                 size += len(head)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 parts = [summed(parts)]
-                size = 2 * len(parts[0][0]) if 2 * len(parts[0][0]) < 4_000_000 else 0
+                size = 0
         if parts:
             codes, rows, times = summed(parts)
             for i in range(0, len(codes), 100_000):
@@ -382,6 +383,10 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
 LEAD = 0.22
 #: Ranks at which a row's norm behind them is kept, and rows of a block, which meets in its task the larger rows that can be near.
 CUTS, BLOCK_ROWS, BLOCKS = 32, 10_000, 18
+#: Terms in the leads of a block, bytes of leads that meet it at once, and common terms that are summed at once.
+BLOCK_TERMS, PASSING, MEETINGS = 2_000_000, 1_000_000, 500_000
+#: Characters of near copies that one task compares; of a larger group a task takes such a part and meets the rest in batches.
+PART_CHARS = 3_000_000
 #: Blocks whose tasks are planned as one job.
 WAVE = 64
 #: Weights of a lead are rounded up to one of these.
@@ -398,7 +403,7 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, n
     of the larger rows that can be near, as the smaller of two rows has to hold ``least`` of the other's norm at least. No lead is
     shuffled, as a row can be near many blocks. Pairs
     whose bound is ``least`` are candidates; of these a task returns a forest that joins the same rows, never all pairs. Rows that
-    candidates join are compared on all terms.
+    candidates join are compared on all terms. A task holds its block, or its part of a group, and never what it meets.
     """
     spark, kind = df.sparkSession, df.schema[key].dataType
     rarity = np.empty(len(terms.codes), np.int64)
@@ -440,68 +445,114 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, n
     blocks = max(BLOCKS, -(-count // BLOCK_ROWS))
     edges = sorted({int(x) for x in lead.approxQuantile("n", [i / blocks for i in range(1, blocks)], 0.001)}) if count else []
     total, steps = len(terms.codes), STEPS.astype(np.float32) * np.float32(1.0001)
-
-    def dealt(c: int) -> DataFrame:
-        """The rows of cell ``c``, one task: its own block, and rows of higher blocks that need no more terms than its rows have."""
-        above = lambda name: F.col(name) > edges[c - 1] if c else F.lit(True)
-        within = lambda name: F.col(name) <= edges[c] if c < len(edges) else F.lit(True)
-        some = lead.where(above("n") & within("need"))
-        return some.select(F.lit(c).alias("cell"), within("n").alias("own"), "k", "n", "need", "last", "left", "terms", "w", "behind").coalesce(1)
+    columns = ["k", "n", "need", "last", "left", "terms", "w", "behind"]
+    # Rows of one range of n, which equal texts' sizes can make large, are split by hash: a block has few rows and few terms.
+    at = F.lit(0)
+    for e in edges:
+        at += (F.col("n") > e).cast("int")
+    sizes = lead.groupBy(at.alias("c")).agg(F.count("*").alias("rows"), F.sum(F.length("terms")).alias("bytes")).collect()
+    cells = [(r["c"], j, m) for r in sorted(sizes) for m in [max(-(-r["rows"] // BLOCK_ROWS), -(-r["bytes"] // (gap.itemsize * BLOCK_TERMS)))] for j in range(m)]
+
+    def dealt(c: int, j: int, m: int) -> DataFrame:
+        """The rows of one task, the block's own first: part ``j`` of ``m`` of range ``c``, then the parts behind it and the rows of
+        higher ranges that need no more terms than its rows have."""
+        above = F.col("n") > edges[c - 1] if c else F.lit(True)
+        within = F.col("n") <= edges[c] if c < len(edges) else F.lit(True)
+        part = F.pmod(F.xxhash64("k"), F.lit(m))
+        some = lead.where(above & (F.col("need") <= edges[c] if c < len(edges) else F.lit(True)) & (~within | (part >= j)))
+        return some.select((within & (part == j)).alias("own"), *columns).coalesce(1).sortWithinPartitions(F.desc("own"))
+
+    def flat(part: pa.Table | pa.RecordBatch) -> dict:
+        x = {c: part[c].to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else part[c].to_numpy() for c in ("n", "need", "last", "left")}
+        x["k"], lists = part["k"].to_pylist(), part["terms"].to_pylist()
+        sizes = np.array([len(t) // gap.itemsize for t in lists], np.int64)
+        ends = np.cumsum(sizes)
+        term = np.cumsum(np.frombuffer(b"".join(lists), gap), dtype=np.int64)
+        x["term"] = (term - np.repeat(np.append(0, term[ends[:-1] - 1]), sizes)).astype(np.int32)
+        x["w"] = steps[np.frombuffer(b"".join(part["w"].to_pylist()), np.uint8)]
+        x["behind"] = np.frombuffer(b"".join(part["behind"].to_pylist()), "<f4").reshape(len(lists), CUTS)
+        x["cut"] = np.maximum(np.searchsorted(cuts, x["last"], "right") - 1, 0)
+        x["ends"], x["sizes"] = np.append(0, ends), sizes
+        return x
+
+    def hits(x: dict, y: dict, index: tuple[np.ndarray, ...]) -> Iterator[tuple[int, np.ndarray]]:
+        """(row of y, rows of x that can be near it); a few rows of y are summed at once."""
+        starts, owner, weight = index
+        width = len(x["k"])
+        first = starts[y["term"]]
+        many = starts[y["term"] + 1] - first
+        reach = np.append(0, np.cumsum(many))[y["ends"]]
+        s = 0
+        while s < len(y["k"]):
+            e = max(s + 1, min(s + max(1, 100_000 // width), int(np.searchsorted(reach, reach[s] + MEETINGS, "right")) - 1))
+            part = slice(y["ends"][s], y["ends"][e])
+            spans = many[part]
+            ends = np.cumsum(spans)
+            at = np.repeat(first[part] - (ends - spans), spans)
+            at += np.arange(len(at))
+            to = np.repeat(np.repeat(np.arange(e - s) * width, y["sizes"][s:e]), spans)
+            to += owner[at]
+            p = np.bincount(to, weight[at] * np.repeat(y["w"][part], spans), minlength=(e - s) * width)
+            # The norm behind a lead bounds the rest of a product, as no other is over 1.
+            found = np.flatnonzero(p >= least - 1e-5 - max(x["left"].max(), y["left"][s:e].max()))
+            i, j = found // width + s, found % width
+            # Behind the lead that ends first; a norm behind an earlier cut is no less.
+            rest = np.where(x["last"][j] >= y["last"][i], y["left"][i] * x["behind"][j, y["cut"][i]], x["left"][j] * y["behind"][i, x["cut"][j]])
+            keep = (p[found] + rest >= least - 1e-5) & (x["n"][j] >= y["need"][i]) & (y["n"][i] >= x["need"][j])
+            i, j = i[keep], j[keep]
+            for r in np.unique(i):
+                yield int(r), j[i == r]
+            s = e
 
     def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
+        """Only the block's own rows are held; the others pass by in batches."""
+        own, x, index, joined = [], None, None, None
+
+        def joins(y: dict, inner: bool) -> pa.RecordBatch:
+            found_a, found_b = [], []
+            for i, near in hits(x, y, index):
+                near = near[near < i] if inner else near
+                others, at = np.unique(joined[near], return_index=True)
+                new = others != joined[i] if inner else np.ones(len(others), bool)
+                if new.any():
+                    found_a += [y["k"][i]] * int(new.sum())
+                    found_b += [x["k"][m] for m in near[at[new]].tolist()]
+                    if inner or len(others) > 1:
+                        joined[np.isin(joined, others)] = joined[i] if inner else others[0]
+            return pa.RecordBatch.from_arrays([pa.array(found_a, name), pa.array(found_b, name)], names=["a", "b"])
+
+        def start() -> pa.RecordBatch:
+            nonlocal x, index, joined
+            x = flat(pa.Table.from_batches(own))
+            by = np.argsort(x["term"], kind="stable")
+            index = np.searchsorted(x["term"][by], np.arange(total + 1)), np.repeat(np.arange(len(x["k"])), x["sizes"])[by], x["w"][by]
+            joined = np.arange(len(x["k"]))
+            own.clear()
+            return joins(x, True)
+
         for batch in batches:
-            cells = pc.unique(batch["cell"]).to_pylist()
-            for c in cells:
-                held.setdefault(c, []).append(batch if len(cells) == 1 else batch.filter(pc.equal(batch["cell"], c)))
-        for parts in held.values():
-            yield from meet(pa.Table.from_batches(parts)).to_batches()
-
-    def meet(part: pa.Table) -> pa.Table:
-        inner = part["own"]
-        x = part.filter(inner)
-        y = pa.concat_tables([x, part.filter(pc.invert(inner))])
-        if not len(x):
-            return pa.table({"a": pa.array([], name), "b": pa.array([], name)})
-        names = y["k"].to_pylist()
-        n, need, last, left = (y[c].to_numpy() for c in ("n", "need", "last", "left"))
-        behind = np.frombuffer(b"".join(y["behind"].to_pylist()), "<f4").reshape(len(names), CUTS)
-        lists = y["terms"].to_pylist()
-        sizes = np.array([len(t) // gap.itemsize for t in lists])
-        term = np.cumsum(np.frombuffer(b"".join(lists), gap), dtype=np.int64)
-        term = (term - np.repeat(np.append(0, term[np.cumsum(sizes)[:-1] - 1]), sizes)).astype(np.int32)
-        by = np.argsort(term, kind="stable")
-        owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)[by]
-        weight = steps[np.frombuffer(b"".join(y["w"].to_pylist()), np.uint8)[by]]
-        starts = np.searchsorted(term[by], np.arange(total + 1))
-        del term, by, lists
-        found_a, found_b, joined = [], [], np.arange(len(names))
-        cut = np.maximum(np.searchsorted(cuts, last, "right") - 1, 0)
-        for i, (k, xn, xneed, xlast, xleft, xterms, xw, xbehind) in enumerate(zip(*(x[c].to_pylist() for c in ("k", "n", "need", "last", "left", "terms", "w", "behind")), strict=True)):
-            ids, ws = np.cumsum(np.frombuffer(xterms, gap), dtype=np.int64), steps[np.frombuffer(xw, np.uint8)]
-            own = np.frombuffer(xbehind, "<f4")
-            k1 = max(int(np.searchsorted(cuts, xlast, "right")) - 1, 0)
-            a, b = starts[ids], starts[ids + 1]
-            spans = b - a
-            at = np.repeat(a - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(spans.sum())
-            p = np.bincount(owner[at], weight[at] * np.repeat(ws, spans), minlength=len(names))
-            # Behind the lead that ends first; a norm behind an earlier cut is no less.
-            bound = p + np.where(last >= xlast, xleft * behind[:, k1], left * own[cut])
-            hit = (bound >= least - 1e-5) & (n >= xneed) & (xn >= need)
-            hit[: i + 1] = False
-            near = np.flatnonzero(hit)
-            others, at = np.unique(joined[near], return_index=True)
-            new = others != joined[i]
-            if new.any():
-                found_a += [k] * int(new.sum())
-                found_b += [names[m] for m in near[at[new]].tolist()]
-                joined[np.isin(joined, others[new])] = joined[i]
-        return pa.table({"a": pa.array(found_a, name), "b": pa.array(found_b, name)})
+            if not len(batch):
+                continue
+            mine = batch["own"]
+            if x is None:
+                own.append(batch.filter(mine))
+                if not sum(map(len, own)):
+                    return
+            others = batch.filter(pc.invert(mine))
+            if len(others):
+                if x is None:
+                    yield start()
+                few = max(1, len(others) * PASSING // max(1, others["terms"].nbytes))
+                for i in range(0, len(others), few):
+                    yield joins(flat(others.slice(i, few)), False)
+        if x is None and sum(map(len, own)):
+            yield start()
 
     # Spark puts a union of one-task inputs into one task, unless they differ from another input: the empty one.
-    none = spark.createDataFrame([], dealt(0).schema)
-    waves = [range(c, min(c + WAVE, len(edges) + 1)) for c in range(0, len(edges) + 1, WAVE)]
-    met = [written(reduce(DataFrame.union, map(dealt, wave), none).mapInArrow(meets, f"a {short}, b {short}"), "candidates") for wave in waves]
+    if not cells:
+        return spark.createDataFrame([], f"a {short}, b {short}, sim double")
+    none = spark.createDataFrame([], dealt(*cells[0]).schema)
+    met = [written(reduce(DataFrame.union, (dealt(*c) for c in cells[i : i + WAVE]), none).mapInArrow(meets, f"a {short}, b {short}"), "candidates") for i in range(0, len(cells), WAVE)]
     candidates = reduce(DataFrame.union, met)
     from siltstone.operators import groups as G
 
@@ -509,14 +560,62 @@ def near_texts(df: DataFrame, key: str, text: str, terms: Terms, least: float, n
         return spark.createDataFrame([], f"a {short}, b {short}, sim double")
     roots = written(G.connected(candidates).select(F.col("node").alias("__k"), "root"), "candidate-groups")
 
+    def entries(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, text, weight), unit vectors."""
+        every = [(at + i, term, w) for at, some in cut(texts) for i, term, w in vectors(some)]
+        if not every:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.concatenate([t for _, t, _ in every]), np.repeat([i for i, *_ in every], [len(t) for _, t, _ in every]), np.concatenate([w for *_, w in every])
+
     def compare(part: pa.Table) -> pa.Table:
         names, texts = part["k"].to_pylist(), part["t"].to_pylist()
         order = sorted(range(len(names)), key=lambda i: names[i])
         names = [names[i] for i in order]
-        entries = [(at + i, term, w) for at, some in cut([texts[i] for i in order]) for i, term, w in vectors(some)]
-        doc = np.concatenate([np.full(len(t), i) for i, t, _ in entries])
-        a, b, sims = nearest_rows(np.concatenate([t for _, t, _ in entries]), doc, np.concatenate([w for *_, w in entries]), len(names), least, neighbours)
+        a, b, sims = nearest_rows(*entries([texts[i] for i in order]), len(names), least, neighbours)
         return pa.table({"a": pa.array([names[i] for i in a], name), "b": pa.array([names[i] for i in b], name), "sim": pa.array(sims, pa.float64())})
 
+    def compares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part of a large group, its own rows first, against the whole group, which passes by: only the part's terms and nearest rows are held."""
+        names, texts, own, best = [], [], None, None
+
+        def keep(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> None:
+            nonlocal best
+            a, b, sims = (np.concatenate(x) for x in zip(best, (a, b, sims), strict=True)) if best else (a, b, sims)
+            by = np.lexsort((np.unique(b, return_inverse=True)[1], -np.round(sims, 9), a))
+            by = by[np.arange(len(by)) - np.searchsorted(a[by], a[by]) < neighbours]
+            best = a[by], b[by], sims[by]
+
+        def start() -> None:
+            nonlocal own
+            own = entries(texts)
+            for a, b, sims in products(*own, len(names), least, 1024):
+                keep(np.append(a, b), np.array(names)[np.append(b, a)], np.append(sims, sims))
+
+        for mine, keys, some in portions(batches):
+            inner = sum(mine)
+            names, texts = names + keys[:inner], texts + some[:inner]
+            if not names:
+                return
+            if inner < len(keys):
+                if own is None:
+                    start()
+                term, doc, w = entries(some[inner:])
+                both = np.append(own[0], term), np.append(own[1], doc + len(names)), np.append(own[2], w)
+                for a, b, sims in products(*both, len(names) + len(keys) - inner, least, 1024, len(names)):
+                    keep(a, np.array(keys[inner:])[b - len(names)], sims)
+        if own is None and names:
+            start()
+        a, b, sims = best or ([], np.zeros(0), [])
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], name), pa.array(b.tolist(), name), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+
     whole = rows.join(roots, F.col(key) == F.col("__k")).select("root", F.col("__k").alias("k"), "t")
-    return written(whole.groupBy("root").applyInArrow(compare, f"a {short}, b {short}, sim double"), "nearest")
+    large = written(df.select(key, F.length(text).alias("chars")).join(roots, F.col(key) == F.col("__k")).groupBy("root").agg(F.sum("chars").alias("chars")).where(F.col("chars") > PART_CHARS), "large-groups")
+    made = f"a {short}, b {short}, sim double"
+    near = [written(whole.join(large.select("root"), "root", "left_anti").groupBy("root").applyInArrow(compare, made), "nearest")]
+    parts = [(r["root"], j, m) for r in large.collect() for m in [-(-r["chars"] // PART_CHARS)] for j in range(m)]
+    if parts:
+        held = written(whole.join(large.select("root"), "root", "left_semi"), "large-group-texts")
+        part = lambda r, j, m: held.where(F.col("root") == F.lit(r)).select((F.pmod(F.xxhash64("k"), F.lit(m)) == j).alias("own"), "k", "t").coalesce(1).sortWithinPartitions(F.desc("own"))
+        none = spark.createDataFrame([], part(*parts[0]).schema)
+        near += [written(reduce(DataFrame.union, (part(*p) for p in parts[i : i + WAVE]), none).mapInArrow(compares, made), "nearest-in-parts") for i in range(0, len(parts), WAVE)]
+    return reduce(DataFrame.union, near)

@@ -214,6 +214,25 @@ def test_near_texts_equal_the_join(spark, monkeypatch):
     assert near() == want
 
 
+def test_near_texts_hold_a_block_and_not_what_it_meets(spark, monkeypatch):
+    """Texts of one size and a large group of near copies are split over tasks; none makes arrays of more than its part and a batch."""
+    words = [f"word{i:02}" for i in range(40)]
+    texts = [" ".join([*words[:i], f"othe{i:02}", *words[i + 1 :]]) for i in range(40)] + [" ".join(f"el{i:02}{k}" for k in range(3)) for i in range(20)]
+    for kind, keys in (("long", range(60)), ("string", [f"k{(i * 7) % 60}" for i in range(60)])):
+        df = spark.createDataFrame(list(zip(keys, texts, strict=True)), f"id {kind}, t string")
+        got = lambda: sorted((r["a"], r["b"], round(r["sim"], 9)) for r in G.near_text_edges(df, "id", "t", 0.9).collect())
+        want, rows = got(), {}
+        tasks = lambda out: out.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+        monkeypatch.setattr(grams, "written", lambda out, label, f=grams.written: (f(out, label), rows.update({label: len(tasks(out)) if label in ("candidates", "nearest-in-parts") else 0}))[0])  # noqa: B023
+        monkeypatch.setattr(grams, "BLOCK_TERMS", 400)
+        monkeypatch.setattr(grams, "PART_CHARS", 2000)
+        monkeypatch.setattr(grams, "CHARS", 1000)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        assert got() == want and len(want) == 200 and rows["candidates"] > 10 and rows["nearest-in-parts"] > 4
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("name", ["safe_components", "safe_split_leaks"])
 def test_safe_queries_make_no_rows_of_terms(spark, monkeypatch, name):
     monkeypatch.setattr(G, "near_pairs", None)
