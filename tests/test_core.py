@@ -261,6 +261,17 @@ def test_a_group_of_near_copies_writes_no_pairs(spark, tmp_path, monkeypatch, na
     assert 39 <= rows["candidates"] <= 160 and rows["nearest"] == 220
 
 
+def test_safe_split_leaks_in_small_blocks_and_parts(spark, monkeypatch):
+    """The SQL's result where blocks and parts of groups are far smaller than the table."""
+    for name, most in (("BLOCK_TERMS", 20_000), ("PART_CHARS", 3000), ("PASSING", 5000), ("MEETINGS", 2000)):
+        monkeypatch.setattr(grams, name, most)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    cursor = con.execute(registry.SQL["safe_split_leaks"])
+    columns = [c[0] for c in cursor.description]
+    assert [tuple(r[c] for c in columns) for r in registry.QUERIES["safe_split_leaks"](spark, DATA).collect()] == cursor.fetchall()
+
+
 def test_leads_are_read_by_block_and_not_shuffled(spark, monkeypatch):
     """A row can be near many blocks, so a shuffle to them takes a copy of its lead for each; blocks read the written leads, a task each."""
     rng = np.random.default_rng(3)
